@@ -25,18 +25,19 @@ def poisson(u: Column, mean: Column) -> Column:
     return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda acc: acc["k"])).otherwise(0)
 
 
-def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, size: Column | None = None) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, size: Column | None = None, alpha: float = 0.5) -> DataFrame:
     """mixed_source, mean: the mean number of times that each source's documents are repeated.
 
     A source with weight w gets epochs * total * w / sum of weights, in `size` (rows, if null), so its documents are
-    repeated that over the source's own size. weights null: every source weighs the same. Sources missing from
+    repeated that over the source's own size. weights null: a source of size n weighs n^alpha
+    (0: all sources alike, 1: as they are). Sources missing from
     weights get 0; null is a source of its own. Grouped by source after a partial sum in each task, so one source with
     a third of all rows makes no large task.
     """
     amount = F.lit(1).cast("double") if size is None else size.cast("double")
     sums = docs.groupBy(F.col("source").alias("mixed_source")).agg(F.sum(amount).alias("n"))
     if weights is None:
-        w = F.lit(1.0)
+        w = F.pow(F.col("n"), F.lit(float(alpha)))
     else:
         w = F.lit(0.0)
         for name, x in weights.items():
@@ -46,7 +47,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, epoch
     return sums.join(F.broadcast(total)).select("mixed_source", F.when((F.col("n") > 0) & (F.col("all_w") > 0), F.lit(float(epochs)) * F.col("all_n") * F.col("w") / F.col("all_w") / F.col("n")).otherwise(0.0).alias("mean"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, key: Column | None = None, order: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, key: Column | None = None, order: bool = True, alpha: float = 0.5) -> DataFrame:
     """Each document as often as a Poisson number says, with mix_mean, n_copies, copy_no (from 0) and shuffle_key.
 
     The number inverts the Poisson distribution with its source's mean at a hash of the document's key (doc_id as
@@ -58,7 +59,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs:
     """
     docs = docs.drop("mix_mean", "n_copies", "copy_no", "shuffle_key")
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")) if key is None else key
-    means = rates(docs, weights, epochs)
+    means = rates(docs, weights, epochs, alpha=alpha)
     kept = docs.columns
     joined = docs.withColumn("mixed_key", key).join(means, docs["source"].eqNullSafe(means["mixed_source"]), "left").withColumn("mix_mean", F.coalesce("mean", F.lit(0.0)))
     parts = F.greatest(F.ceil(F.col("mix_mean") / LARGEST_MEAN).cast("int"), F.lit(1))
@@ -78,7 +79,7 @@ def op4_poisson_mixing(spark, sf_dir: str) -> DataFrame:
 #: The same in DuckDB, for means of LARGEST_MEAN at most.
 OP4_SQL = """
 WITH RECURSIVE s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-m AS (SELECT source, (SELECT sum(n) FROM s)::DOUBLE * 1.0 / (SELECT count(*) FROM s) / n AS mean FROM s),
+m AS (SELECT source, (SELECT sum(n) FROM s)::DOUBLE * pow(n, 0.5) / (SELECT sum(pow(n, 0.5)) FROM s) / n AS mean FROM s),
 p(source, mean, k, term, below) AS (
   SELECT source, mean, 0, exp(-mean), exp(-mean) FROM m
   UNION ALL SELECT source, mean, k + 1, term * mean / (k + 1), below + term * mean / (k + 1) FROM p WHERE k < 48),

@@ -71,7 +71,7 @@ def document_sets(column, size: int):
             yield shingles(words[at[r] : at[r + 1]], size)
 
 
-def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def sketch(docs: DataFrame, size: int = SHINGLE, rows_per_band: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, set_key (a 128-bit fingerprint of the set; null if empty) and the set's buckets, as a map."""
 
     def run(batches):
@@ -84,9 +84,9 @@ def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 if len(s):
                     held.append(s)
                 if len(held) >= 512:
-                    places.append(bands(held))
+                    places.append(bands(held, rows=rows_per_band))
                     held = []
-            places = np.concatenate([*places, bands(held)])
+            places = np.concatenate([*places, bands(held, rows=rows_per_band)])
             rows, k = [], 0
             for n in counts:
                 rows.append(places[k] if n else None)
@@ -116,7 +116,7 @@ def verifier(docs: DataFrame, sizes: DataFrame, percent: int, size: int):
     return verify
 
 
-def near_duplicates(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, size: int = SHINGLE, rows_per_band: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     Texts are folded (A-Z) and cut into words; a set is the distinct shingles of `size` words, one for shorter texts,
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, workspace: Workspace, percent: int = PERCEN
     the smallest doc_id, so copies cost nothing more; nodes go to linked(). Rows that share a doc_id are one node.
     Rows with null doc_id get their count, a null component and kept false. Other columns of docs play no part.
     """
-    found = workspace.save(sketch(docs, size), "sketch")
+    found = workspace.save(sketch(docs, size, rows_per_band), "sketch")
     some = found.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     groups = some.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     node = workspace.save(some.select("doc_id", "n_shingles", "set_key").join(groups, "set_key"), "nodes").drop("set_key")

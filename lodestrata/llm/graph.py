@@ -67,37 +67,141 @@ def components(links: DataFrame, workspace: Workspace, name: str = "cc", rounds:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], workspace: Workspace) -> DataFrame:
-    """node, component for the nodes that verified links join. buckets: rows bucket, node (longs), each once.
+#: Entries of buckets that one task sorts, members of a bucket compared pair by pair, and members of a block.
+ENTRIES = 1 << 19
+FEW = 12
+BLOCK = 256
+#: Columns of one step of a block's product.
+COLUMNS = 1 << 14
 
+
+def shared_buckets(found: DataFrame, workspace: Workspace) -> DataFrame:
+    """bucket, node, leader, members of every bucket with two nodes or more; found has node and buckets (null: none).
+
+    Entries travel packed, 16 bytes each, to the task of the bucket's leading bits, which sorts them.
+    """
+    entries = found.agg(F.sum(F.size("buckets").cast("long")).alias("n")).first()["n"] or 0
+    bits = max(6, int(np.ceil(np.log2(max(1, entries / ENTRIES)))))
+
+    def packed(batches):
+        for batch in batches:
+            column = batch.column("buckets").drop_null()
+            if not len(column):
+                continue
+            node = batch.column("node").filter(batch.column("buckets").is_valid()).to_numpy()
+            node = np.repeat(node, np.diff(column.offsets.to_numpy()))
+            bucket = column.flatten().to_numpy()
+            lead = (bucket.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(lead, kind="stable")
+            lead, bucket, node = lead[order], bucket[order], node[order]
+            cuts = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
+            ends = np.append(cuts[1:], len(lead))
+            yield pa.RecordBatch.from_arrays([pa.array(lead[cuts]), *(pa.array([x[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()) for x in (bucket, node))], names=["lead", "keys", "nodes"])
+
+    def gathered(table: pa.Table) -> pa.Table:
+        bucket, node = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in ("keys", "nodes"))
+        order = np.lexsort((node, bucket))
+        bucket, node = bucket[order], node[order]
+        new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])])
+        bucket, node = bucket[new], node[new]
+        head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        size = np.diff(np.append(head, len(bucket)))
+        keep = np.repeat(size > 1, size)
+        return pa.table({"bucket": bucket[keep], "node": node[keep], "leader": np.repeat(node[head], size)[keep], "members": np.repeat(size, size)[keep]})
+
+    sent = found.where("buckets IS NOT NULL").select("node", "buckets").mapInArrow(packed, "lead long, keys binary, nodes binary")
+    rows = sent.repartition(min(1 << bits, 20_000), "lead").groupBy("lead").applyInArrow(gathered, "bucket long, node long, leader long, members long")
+    return workspace.save(rows, "buckets")
+
+
+def linked(rows: DataFrame, texts: DataFrame, sets: Callable, percent: int, workspace: Workspace, sizes: DataFrame | None = None) -> DataFrame:
+    """node, component for the nodes that links join: pairs of one bucket with 100 * intersection >= percent * union.
+
+    rows: what shared_buckets() gives; texts: node, t of the nodes in it; sets: makes a sorted array of distinct
+    numbers of each text of an Arrow column; sizes: node, n, the sizes of the sets, to spare pairs that differ too much.
     Nodes are representatives of exact copies. In a bucket every node is first compared with the smallest, its leader,
-    so a group of n near copies costs n comparisons and not n^2. Then each pair of nodes of one bucket that is still
-    in two components and that no leader has tested is compared too. So after both steps every pair that shares a
-    bucket is either compared or joined through verified links, and no link between components is lost.
-    verify takes pairs a < b and returns those that are links.
+    so that a group of n near copies costs n comparisons and not n^2. Buckets whose nodes are then still in several
+    components are compared in full: small ones as pairs, larger ones in blocks of BLOCK by BLOCK members, each block a
+    product of 0/1 matrices of which only links leave the task. So every pair that shares a bucket is either compared
+    or already joined, and no link between components is lost.
     """
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("top")).where("leader < top").drop("top")
-    rows = workspace.save(buckets.join(shared, "bucket"), "buckets")
-    star = workspace.save(rows.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "star")
+
+    def compare(batches):
+        for batch in batches:
+            keep = pa.array([jaccard_at_least(x, y, percent) for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        if sizes is not None:
+            pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+            pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+        return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+
+    def block(table: pa.Table) -> pa.Table:
+        node, part, side = (table.column(c).to_numpy() for c in ("node", "part", "side"))
+        own = list(sets(table.column("t")))
+        p, q = block_links(own, part, np.flatnonzero((side & 1) > 0), np.flatnonzero((side & 2) > 0), percent)
+        a, b = np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
+        return pa.table({"a": a, "b": b})
+
+    star = rows.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = workspace.save(verify(star), "links-1")
     parts = components(first, workspace, "cc1")
-    whole = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select("bucket", "node", "leader", "part")
+    whole = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select("bucket", "node", "leader", "members", "part")
     mixed = whole.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
-    open_rows = workspace.save(whole.join(mixed, "bucket", "left_semi").where("node <> leader"), "open")
-    left, right = open_rows.select("bucket", F.col("node").alias("a"), F.col("part").alias("pa")), open_rows.select("bucket", F.col("node").alias("b"), F.col("part").alias("pb"))
-    cross = left.join(right, "bucket").where("a < b AND pa <> pb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    second = workspace.save(verify(workspace.save(cross, "cross")), "links-2")
+    rest = workspace.save(whole.where("members > 2").join(mixed, "bucket", "left_semi").where("node <> leader"), "open")
+    small = rest.where(f"members <= {FEW}")
+    left, right = small.select("bucket", F.col("node").alias("a"), F.col("part").alias("pa")), small.select("bucket", F.col("node").alias("b"), F.col("part").alias("pb"))
+    cross = left.join(right, "bucket").where("a < b AND pa <> pb").select("a", "b").distinct()
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = rest.where(f"members > {FEW}").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # side 1: rows of a block's matrix, 2: its columns, 3: both, in a block of members against themselves
+    side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part", side.alias("side"))
+    joined = dealt.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(block, "a long, b long")
+    second = workspace.save(verify(cross).union(joined), "links-2")
     if second.isEmpty():
         return parts
     return components(first.union(second), workspace, "cc2")
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers."""
+    x = np.sort(x)
+    return x if len(x) < 2 else x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def jaccard_at_least(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union of two sorted arrays of distinct numbers."""
-    small, large = (one, other) if len(one) <= len(other) else (other, one)
-    if 100 * len(small) < percent * len(large):
+    """100 * intersection >= percent * union of two sorted arrays of distinct numbers, not both empty."""
+    if 100 * min(len(one), len(other)) < percent * max(len(one), len(other)) or not len(one):
         return False
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum()) if len(large) else 0
-    return 100 * both >= percent * (len(one) + len(other) - both)
+    both = np.sort(np.concatenate([one, other]))
+    n = int((both[1:] == both[:-1]).sum())
+    return 100 * n >= percent * (len(one) + len(other) - n)
+
+
+def block_links(sets: list[np.ndarray], part: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows and columns in different parts whose sets are similar enough, each pair once in a square block."""
+    size = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ok = count[number] > 1
+    name = np.cumsum(count > 1) - 1
+    of, number = of[ok], name[number[ok]]
+    order = np.argsort(number, kind="stable")
+    of, number = of[order], number[order]
+    both = np.zeros((len(rows), len(columns)), np.float32)
+    row, column = np.full(len(sets), -1), np.full(len(sets), -1)
+    row[rows], column[columns] = np.arange(len(rows)), np.arange(len(columns))
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        lo, hi = np.searchsorted(number, [at, at + COLUMNS])
+        o, k = of[lo:hi], number[lo:hi] - at
+        a, b = np.zeros((len(rows), int(k.max()) + 1), np.float32), np.zeros((len(columns), int(k.max()) + 1), np.float32)
+        a[row[o][row[o] >= 0], k[row[o] >= 0]] = 1
+        b[column[o][column[o] >= 0], k[column[o] >= 0]] = 1
+        both += a @ b.T
+    union = size[rows][:, None] + size[columns][None, :] - both
+    p, q = np.nonzero((100 * both >= percent * union) & (both > 0) & (part[rows][:, None] != part[columns][None, :]))
+    return rows[p], columns[q]

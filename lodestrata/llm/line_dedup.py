@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import jaccard_at_least, linked
+from .graph import distinct, linked, shared_buckets
 from .shared import Workspace, buffers, mix, prefix, slices, span
 
 SHINGLE = 8
@@ -104,31 +104,22 @@ def sketch(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no long, node long, buckets array<long>")
 
 
-def verifier(docs: DataFrame, first: DataFrame, percent: int):
-    """Pairs of nodes whose lines hold 100 * intersection >= percent * union on full shingle sets."""
+def line_texts(column):
+    """Sets of shingles of a column of lines."""
+    data, offsets = buffers(column)
+    for i, j in slices(offsets):
+        sums = prefix(data[offsets[i] : offsets[j]])
+        begin, end = offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]
+        hashes, at = line_sets(sums, begin, end)
+        for r in range(j - i):
+            yield distinct(hashes[at[r] : at[r + 1]])
 
-    def sets(column):
-        data, offsets = buffers(column)
-        for i, j in slices(offsets):
-            sums = prefix(data[offsets[i] : offsets[j]])
-            for r in range(i, j):
-                begin, end = offsets[r] - offsets[i], offsets[r + 1] - offsets[i]
-                yield np.unique(line_sets(sums, np.array([begin]), np.array([end]))[0])
 
-    def compare(batches):
-        for batch in batches:
-            keep = pa.array([jaccard_at_least(x, y, percent) for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct().join(first, "node")
-        places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node")).alias("want"))  # lines of one document
-        found = docs.join(places, "doc_id").withColumn("lines", F.split("text", "\n")).select(F.explode(F.transform("want", lambda w: F.struct(w["node"].alias("node"), F.get("lines", w["line_no"].cast("int")).alias("t")))).alias("e")).select("e.node", "e.t")
-        both = pairs.join(found.withColumnsRenamed({"node": "a", "t": "ta"}), "a").join(found.withColumnsRenamed({"node": "b", "t": "tb"}), "b")
-        fit = both.where(f"ta IS NOT NULL AND tb IS NOT NULL AND 100 * (least(octet_length(ta), octet_length(tb)) - {SHINGLE - 1}) >= 0")
-        return fit.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
-
-    return verify
+def fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, t: the lines that nodes (node, doc_id, line_no) name."""
+    places = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node")).alias("want"))  # lines of one document
+    lines = docs.join(places, "doc_id").withColumn("lines", F.split("text", "\n"))
+    return lines.select(F.explode(F.transform("want", lambda w: F.struct(w["node"].alias("node"), F.get("lines", w["line_no"].cast("int")).alias("t")))).alias("e")).select("e.node", "e.t").where("t IS NOT NULL").dropDuplicates(["node"])
 
 
 def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -146,9 +137,9 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, m
     found = workspace.save(sketch(docs, min_bytes), "lines")
     place = F.struct("doc_id", "line_no")
     nodes = workspace.save(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("node", "first.doc_id", "first.line_no", "n"), "line-nodes")
-    buckets = found.where("buckets IS NOT NULL").select(F.explode("buckets").alias("bucket"), "node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = linked(buckets, verifier(texts, nodes.select("node", "doc_id", "line_no"), percent), workspace)
+    rows = shared_buckets(found.select("node", "buckets"), workspace)
+    lines = fetch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), nodes.select("node", "doc_id", "line_no").join(rows.select("node").distinct(), "node"))
+    parts = linked(rows, workspace.save(lines, "line-texts"), line_texts, percent, workspace)
     where = workspace.save(parts.join(nodes, "node"), "line-parts")
     heads = where.groupBy("component").agg(F.min(place).alias("head"))
     alone = nodes.where("n > 1").join(parts.select("node"), "node", "left_anti").select("node", F.struct("doc_id", "line_no").alias("head"))
@@ -156,9 +147,9 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, m
     gone = found.select("doc_id", "line_no", "node").join(keep, "node").where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("line_no") != F.col("head.line_no")))
     gone = workspace.save(gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines")), "gone")  # lines of one document
     out = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left").drop("gone_id").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
-    lines = F.split("text", "\n")
-    text = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed_lines", i.cast("long"))), "\n"))
-    return out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed_lines", F.size("removed_lines").cast("long")).withColumn("text", text)
+    pieces = F.split("text", "\n")
+    text = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("removed_lines", i.cast("long"))), "\n"))
+    return out.withColumn("n_lines", F.coalesce(F.size(pieces), F.lit(0)).cast("long")).withColumn("n_removed_lines", F.size("removed_lines").cast("long")).withColumn("text", text)
 
 
 def op8_fuzzy_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import jaccard_at_least, linked
+from .graph import linked, shared_buckets
 from .shared import Workspace, buffers, mix, shingles, slices, word_hashes
 
 SHINGLE = 5
@@ -96,26 +96,6 @@ def sketch(docs: DataFrame, size: int = SHINGLE, rows_per_band: int = ROWS) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, buckets array<long>")
 
 
-def verifier(docs: DataFrame, sizes: DataFrame, percent: int, size: int):
-    """Pairs a, b that hold 100 * intersection >= percent * union on full sets, made anew from the whole texts of the pairs."""
-
-    def compare(batches):
-        for batch in batches:
-            pairs = zip(document_sets(batch.column("ta"), size), document_sets(batch.column("tb"), size), strict=True)
-            keep = pa.array([jaccard_at_least(x, y, percent) for x, y in pairs], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        n = sizes.select(F.col("node").alias("i"), "n_shingles")
-        sized = pairs.join(n.withColumnsRenamed({"i": "a", "n_shingles": "na"}), "a").join(n.withColumnsRenamed({"i": "b", "n_shingles": "nb"}), "b")
-        fit = sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-        texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
-        both = fit.join(texts.withColumnsRenamed({"i": "b", "t": "tb"}), "b").join(texts.withColumnsRenamed({"i": "a", "t": "ta"}), "a")
-        return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
-
-    return verify
-
-
 def near_duplicates(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, size: int = SHINGLE, rows_per_band: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
@@ -129,10 +109,10 @@ def near_duplicates(docs: DataFrame, workspace: Workspace, percent: int = PERCEN
     groups = some.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     node = workspace.save(some.select("doc_id", "n_shingles", "set_key").join(groups, "set_key"), "nodes").drop("set_key")
     heads = node.where("doc_id = node").select("node", "n_shingles").distinct()
-    buckets = some.join(heads, (some["doc_id"] == heads["node"]) & (some["n_shingles"] == heads["n_shingles"]), "left_semi")
-    buckets = buckets.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("node")).distinct()
-    texts = docs.select("doc_id", "text")
-    parts = linked(buckets, verifier(texts, heads, percent, size), workspace)
+    own = some.join(heads, (some["doc_id"] == heads["node"]) & (some["n_shingles"] == heads["n_shingles"]), "left_semi").select(F.col("doc_id").alias("node"), "buckets")
+    rows = shared_buckets(own, workspace)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").alias("t")).join(rows.select("node").distinct(), "node")
+    parts = linked(rows, workspace.save(texts, "texts"), lambda column: document_sets(column, size), percent, workspace, heads.select("node", F.col("n_shingles").alias("n")))
     copies = node.where("doc_id <> node").select(F.col("doc_id").alias("leaf"), "node").distinct()
     member = copies.join(parts, "node", "left").select("leaf", F.coalesce("component", "node").alias("component")).union(parts.join(copies, parts["node"] == copies["leaf"], "left_anti"))
     member = member.groupBy("leaf").agg(F.min("component").alias("component"))

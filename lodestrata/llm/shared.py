@@ -183,4 +183,5 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """The set of a text's shingles as sorted distinct hashes; a text with fewer words has one, the whole sequence; none without words."""
     if not len(words):
         return np.zeros(0, np.uint64)
-    return np.unique(windows(words, min(size, len(words))) + np.uint64(min(size, len(words))))
+    found = np.sort(windows(words, min(size, len(words))) + np.uint64(min(size, len(words))))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, settle
 from .shared import Workspace
 
 THRESHOLD = 0.95
@@ -82,22 +82,6 @@ def links(one: np.ndarray, other: np.ndarray, axes: np.ndarray, threshold: float
             yield i + p, j + q
 
 
-def settle(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
-    """Joins the components of p and q in label, an array of smallest members, in place."""
-    while len(p):
-        lp, lq = label[p], label[q]
-        ok = lp != lq
-        if not ok.any():
-            return
-        p, q, lp, lq = p[ok], q[ok], lp[ok], lq[ok]
-        np.minimum.at(label, np.maximum(lp, lq), np.minimum(lp, lq))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label[:] = up
-
-
 def near_vectors(vectors: DataFrame, workspace: Workspace, threshold: float = THRESHOLD, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 

@@ -78,7 +78,7 @@ COLUMNS = 1 << 14
 def shared_buckets(found: DataFrame, workspace: Workspace) -> DataFrame:
     """bucket, node, leader, members of every bucket with two nodes or more; found has node and buckets (null: none).
 
-    Entries travel packed, 16 bytes each, to the task of the bucket's leading bits, which sorts them.
+    Entries travel packed, 12 bytes each, to the task of the bucket's leading bits, which sorts them.
     """
     entries = found.agg(F.sum(F.size("buckets").cast("long")).alias("n")).first()["n"] or 0
     bits = max(6, int(np.ceil(np.log2(max(1, entries / ENTRIES)))))
@@ -93,13 +93,15 @@ def shared_buckets(found: DataFrame, workspace: Workspace) -> DataFrame:
             bucket = column.flatten().to_numpy()
             lead = (bucket.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(lead, kind="stable")
-            lead, bucket, node = lead[order], bucket[order], node[order]
+            # 32 bits beyond the leading ones tell a task's buckets apart but for one in some thousand, which verification sorts out
+            lead, bucket, node = lead[order], ((bucket.view(np.uint64) >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], node[order]
             cuts = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
             ends = np.append(cuts[1:], len(lead))
             yield pa.RecordBatch.from_arrays([pa.array(lead[cuts]), *(pa.array([x[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()) for x in (bucket, node))], names=["lead", "keys", "nodes"])
 
     def gathered(table: pa.Table) -> pa.Table:
-        bucket, node = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in ("keys", "nodes"))
+        bucket, node = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("keys", np.uint32), ("nodes", np.int64)))
+        bucket = (table.column("lead")[0].as_py() << 32) | bucket.astype(np.int64)
         order = np.lexsort((node, bucket))
         bucket, node = bucket[order], node[order]
         new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])])
@@ -122,7 +124,7 @@ def linked(rows: DataFrame, texts: DataFrame, sets: Callable, percent: int, work
     Nodes are representatives of exact copies. In a bucket every node is first compared with the smallest, its leader,
     so that a group of n near copies costs n comparisons and not n^2. Buckets whose nodes are then still in several
     components are compared in full: small ones as pairs, larger ones in blocks of BLOCK by BLOCK members, each block a
-    product of 0/1 matrices of which only links leave the task. So every pair that shares a bucket is either compared
+    product of 0/1 matrices of which a spanning forest of the links leaves the task. So every pair that shares a bucket is either compared
     or already joined, and no link between components is lost.
     """
 
@@ -142,8 +144,14 @@ def linked(rows: DataFrame, texts: DataFrame, sets: Callable, percent: int, work
         node, part, side = (table.column(c).to_numpy() for c in ("node", "part", "side"))
         own = list(sets(table.column("t")))
         p, q = block_links(own, part, np.flatnonzero((side & 1) > 0), np.flatnonzero((side & 2) > 0), percent)
-        a, b = np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
-        return pa.table({"a": a, "b": b})
+        # of the links a spanning forest leaves the task
+        order = np.argsort(node, kind="stable")
+        place = np.empty(len(node), np.int64)
+        place[order] = np.arange(len(node))
+        label = np.arange(len(node))
+        settle(label, place[p], place[q])
+        leaf = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table({"a": node[order][label[leaf]], "b": node[order][leaf]})
 
     star = rows.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = workspace.save(verify(star), "links-1")
@@ -182,6 +190,22 @@ def jaccard_at_least(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(one) + len(other) - n)
 
 
+def settle(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Joins the components of p and q in label, an array of smallest members, in place."""
+    while len(p):
+        lp, lq = label[p], label[q]
+        ok = lp != lq
+        if not ok.any():
+            return
+        p, q, lp, lq = p[ok], q[ok], lp[ok], lq[ok]
+        np.minimum.at(label, np.maximum(lp, lq), np.minimum(lp, lq))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+
+
 def block_links(sets: list[np.ndarray], part: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows and columns in different parts whose sets are similar enough, each pair once in a square block."""
     size = np.array([len(s) for s in sets])

@@ -118,7 +118,7 @@ def line_texts(column):
 def fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, t: the lines that nodes (node, doc_id, line_no) name."""
     places = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node")).alias("want"))  # lines of one document
-    lines = docs.join(places, "doc_id").withColumn("lines", F.split("text", "\n"))
+    lines = docs.join(places.hint("merge"), "doc_id").withColumn("lines", F.split("text", "\n"))
     return lines.select(F.explode(F.transform("want", lambda w: F.struct(w["node"].alias("node"), F.get("lines", w["line_no"].cast("int")).alias("t")))).alias("e")).select("e.node", "e.t").where("t IS NOT NULL").dropDuplicates(["node"])
 
 
@@ -134,10 +134,12 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, m
     results are replaced.
     """
     docs = docs.drop("n_lines", "n_removed_lines", "removed_lines")
-    found = workspace.save(sketch(docs, min_bytes), "lines")
+    sketched = workspace.save(sketch(docs, min_bytes), "sketch")
+    found = workspace.save(sketched.select("doc_id", "line_no", "node"), "lines")
     place = F.struct("doc_id", "line_no")
     nodes = workspace.save(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("node", "first.doc_id", "first.line_no", "n"), "line-nodes")
-    rows = shared_buckets(found.select("node", "buckets"), workspace)
+    rows = shared_buckets(sketched.select("node", "buckets"), workspace)
+    workspace.drop("sketch")
     lines = fetch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), nodes.select("node", "doc_id", "line_no").join(rows.select("node").distinct(), "node"))
     parts = linked(rows, workspace.save(lines, "line-texts"), line_texts, percent, workspace)
     where = workspace.save(parts.join(nodes, "node"), "line-parts")
@@ -146,7 +148,7 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, m
     keep = where.join(heads, "component").select("node", "head").union(alone)
     gone = found.select("doc_id", "line_no", "node").join(keep, "node").where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("line_no") != F.col("head.line_no")))
     gone = workspace.save(gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines")), "gone")  # lines of one document
-    out = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left").drop("gone_id").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
+    out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left").drop("gone_id").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
     pieces = F.split("text", "\n")
     text = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("removed_lines", i.cast("long"))), "\n"))
     return out.withColumn("n_lines", F.coalesce(F.size(pieces), F.lit(0)).cast("long")).withColumn("n_removed_lines", F.size("removed_lines").cast("long")).withColumn("text", text)

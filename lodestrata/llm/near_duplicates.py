@@ -111,7 +111,7 @@ def near_duplicates(docs: DataFrame, workspace: Workspace, percent: int = PERCEN
     heads = node.where("doc_id = node").select("node", "n_shingles").distinct()
     own = some.join(heads, (some["doc_id"] == heads["node"]) & (some["n_shingles"] == heads["n_shingles"]), "left_semi").select(F.col("doc_id").alias("node"), "buckets")
     rows = shared_buckets(own, workspace)
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").alias("t")).join(rows.select("node").distinct(), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").alias("t")).join(rows.select("node").distinct().hint("merge"), "node")
     parts = linked(rows, workspace.save(texts, "texts"), lambda column: document_sets(column, size), percent, workspace, heads.select("node", F.col("n_shingles").alias("n")))
     copies = node.where("doc_id <> node").select(F.col("doc_id").alias("leaf"), "node").distinct()
     member = copies.join(parts, "node", "left").select("leaf", F.coalesce("component", "node").alias("component")).union(parts.join(copies, parts["node"] == copies["leaf"], "left_anti"))

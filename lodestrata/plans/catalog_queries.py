@@ -1,0 +1,153 @@
+"""Catalog queries over literal rows, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import catalog, facts
+
+# seq, provider, model_id, fact_name, value, value_type, source_id, rank, verified_at
+STATEMENTS = [
+    (1, "openai", "m-one", "lifecycle", "active", "str", "oa-index", 1, "2026-01-02T00:00:00Z"),
+    (2, "openai", "m-one", "lifecycle", "deprecated", "str", "oa-dep", 3, "2026-01-02T00:00:00Z"),
+    (3, "openai", "m-one", "context_window", "128000", "int", "oa-page", 2, "2026-01-02T00:00:00Z"),
+    (4, "openai", "m-one", "context_window", "200000", "int", "oa-page-b", 2, "2026-01-02T00:00:00Z"),
+    (5, "openai", "m-one", "display_name", "One", "str", "oa-index", 1, "2026-01-02T00:00:00Z"),
+    (6, "openai", "m-one", "display_name", "One", "str", "oa-page", 2, "2026-01-02T00:00:00Z"),
+    (7, "openai", "m-two", "lifecycle", None, "str", "oa-index", 1, "2026-01-02T00:00:00Z"),
+    (8, "openai", "m-two", "display_name", "Two", "str", "oa-index", 1, "2026-01-02T00:00:00Z"),
+    (9, "google", "g-one", "max_output", "8192", "int", "g-page", 2, "2026-01-03T00:00:00Z"),
+    (10, "google", "g-one", "max_output", "8192", "int", "g-guide", 2, "2026-01-03T00:00:00Z"),
+    (11, "google", "g-one", "max_output", "4096", "int", "g-index", 1, "2026-01-03T00:00:00Z"),
+    (12, "google", "g-one", "family", "a", "str", "g-page", 2, "2026-01-03T00:00:00Z"),
+    (13, "google", "g-one", "family", "b", "str", "g-index", 1, "2026-01-03T00:00:00Z"),
+    (14, "google", "g-one", "family", "c", "str", "g-index", 1, "2026-01-03T00:00:00Z"),
+    (15, "google", "g-one", "api_access", "true", "bool", "g-page", 2, "2026-01-03T00:00:00Z"),
+    (16, "google", "g-one", "api_access", "yes", "str", "g-index", 1, "2026-01-03T00:00:00Z"),
+    (17, "together", "t/one", "lifecycle", "retired", "str", "t-dep", 3, "2026-01-04T00:00:00Z"),
+]
+_ST = "seq long, provider string, model_id string, fact_name string, value string, value_type string, source_id string, rank int, verified_at string"
+# model_key, provider, disposition, fact_name, status, value, source_id, verified_at
+BEFORE = [
+    ("openai:m-one", "openai", "currently_documented", "lifecycle", "known", "active", "oa-index", "2026-01-01"),
+    ("openai:m-one", "openai", "currently_documented", "context_window", "known", "combined:128000", "oa-page", "2026-01-01"),
+    ("openai:m-one", "openai", "currently_documented", "api_access", "known", "true", "oa-page", "2026-01-01"),
+    ("openai:m-one", "openai", "currently_documented", "input_modalities", "known", "text,image", "oa-page", "2026-01-01"),
+    ("openai:m-two", "openai", None, "lifecycle", "unknown", None, "oa-index", "2026-01-01"),
+    ("openai:m-two", "openai", None, "api_access", "not_verified", None, None, None),
+    ("openai:m-two", "openai", None, "input_modalities", "known", "text", "oa-page", "2026-01-01"),
+    ("openai:m-old", "openai", "historical_reference_only", "lifecycle", "known", "retired", "oa-dep", "2026-01-01"),
+    ("google:g-one", "google", "currently_documented", "lifecycle", "conflict", "active|deprecated", None, None),
+    ("google:g-one", "google", "currently_documented", "context_window", "known", "unknown:64000", "g-page", "2026-01-01"),
+    ("google:m-two", "google", "currently_documented", "lifecycle", "known", "active", "g-model-page:m-two", "2026-01-01"),
+    ("google:m-al", "google", "currently_documented", "resolves_to", "known", "google:g-one", "g-page", "2026-01-01"),
+    ("google:m-al2", "google", "currently_documented", "resolves_to", "known", "google:m-al", "g-page", "2026-01-01"),
+    ("google:m-al3", "google", "currently_documented", "resolves_to", "known", "google:gone", "g-page", "2026-01-01"),
+]
+AFTER = [
+    ("openai:m-one", "openai", "currently_documented", "lifecycle", "known", "deprecated", "oa-dep", "2026-02-01"),
+    ("openai:m-one", "openai", "currently_documented", "retirement_at", "known", "2026-06-01", "oa-dep", "2026-02-01"),
+    ("openai:m-one", "openai", "currently_documented", "api_access", "known", "true", "oa-page", "2026-01-31"),
+    ("openai:m-two", "openai", "currently_documented", "lifecycle", "not_verified", None, None, None),
+    ("openai:m-new", "openai", "currently_documented", "lifecycle", "known", "active", "oa-index", "2026-02-01"),
+    ("google:g-one", "google", "currently_documented", "lifecycle", "conflict", "deprecated|active", None, None),
+    ("together:t-one", "together", "currently_documented", "lifecycle", "known", "active", "t-list", "2026-02-01"),
+]
+_RE = "model_key string, provider string, disposition string, fact_name string, status string, value string, source_id string, verified_at string"
+NOTICES = [("google", "PARTIAL_MODEL_PAGES"), ("openai", "DOCUMENTED_SUBSET"), ("together", "HISTORY_WRITE_FAILED")]
+REFERENCES = [("a.py", 3, "openai", "m-one"), ("a.py", 9, "openai", "m-zzz"), ("b.py", 1, None, "m-two"), ("b.py", 2, None, "g-one"), ("c.json", None, "mistral", "x"), ("c.json", 4, None, "nope"), ("d.toml", 1, "openai", ""), ("d.toml", 2, "openai", "m-old")]
+EVENTS = [(1, "a", "past", "2025-01-01", "2025-06-01"), (2, "a", "past", "2025-03-01", "2025-09-01"), (3, "b", "past", None, "2025-01-01"), (4, "b", "upcoming", "2025-02-01", "2026-01-01"), (5, "c", None, None, "2025-01-01"), (6, "c", "past", "2025-01-01", None), (7, "d", "past", "2025-01-01", None), (8, "d", "past", None, "2025-02-01"), (9, "e", "past", None, "2025-02-01"), (10, "e", "past", None, "2025-03-01"), (11, "e", "past", None, "2025-03-01")]
+
+
+def _values(rows, names: str) -> str:
+    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({names})"
+
+
+def _names(schema: str) -> str:
+    return ", ".join(x.split()[0] for x in schema.split(", "))
+
+
+def statements(spark) -> DataFrame:
+    return spark.createDataFrame(STATEMENTS, _ST)
+
+
+def before(spark) -> DataFrame:
+    return spark.createDataFrame(BEFORE, _RE)
+
+
+def after(spark) -> DataFrame:
+    return spark.createDataFrame(AFTER, _RE)
+
+
+def merged(spark, sf_dir: str) -> DataFrame:
+    out = facts.merge_by_rank(statements(spark))
+    return out.withColumn("claims", F.array_join(F.transform("claims", lambda c: F.concat(c["value"], F.lit("@"), c["source_id"])), "|"))
+
+
+QUERY = catalog.ModelQuery(lifecycle="active", api_access=True, input_modalities=("text", "image"), min_context=100_000, context_kind="combined")
+
+
+def evaluated(spark, sf_dir: str) -> DataFrame:
+    return catalog.evaluate(before(spark), QUERY).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def references(spark) -> DataFrame:
+    return spark.createDataFrame(REFERENCES, "path string, line int, provider string, model_id string")
+
+
+_S = f"WITH s AS (SELECT * FROM {_values(STATEMENTS, _names(_ST))} WHERE value IS NOT NULL)"
+_B, _A = (f"{n} AS (SELECT * FROM {_values(r, _names(_RE))})" for n, r in (("b", BEFORE), ("a", AFTER)))
+_KEYED = "CASE WHEN status = 'known' THEN '=' || value WHEN status = 'conflict' THEN '!' || array_to_string(list_sort(list_distinct(string_split(value, '|'))), '|') WHEN status = 'not_applicable' THEN 'n/a' ELSE '?' END"
+_RESOLVED = f"""r AS (SELECT path, line::INT AS line, provider, model_id FROM {_values(REFERENCES, 'path, line, provider, model_id')}),
+k AS (SELECT DISTINCT provider, model_key, substr(model_key, instr(model_key, ':') + 1) AS model_id FROM b),
+u AS (SELECT model_id, count(*) AS n, min(model_key) AS only_key FROM k GROUP BY 1),
+m AS (SELECT r.*, k.model_key AS exact_key, u.only_key, CASE WHEN r.model_id = '' THEN 'unresolved' WHEN r.provider IS NOT NULL THEN CASE WHEN k.model_key IS NOT NULL THEN 'exact' WHEN r.provider IN (SELECT provider FROM k) THEN 'not_in_catalog' ELSE 'provider_not_in_catalog' END
+ WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'not_in_catalog' END AS match FROM r LEFT JOIN k ON r.provider = k.provider AND r.model_id = k.model_id LEFT JOIN u ON r.model_id = u.model_id),
+res AS (SELECT path, line, provider, model_id, match, CASE match WHEN 'exact' THEN exact_key WHEN 'unique' THEN only_key END AS model_key FROM m)"""
+
+QUERIES = {
+    "fact_merge_by_rank": merged,
+    "fact_statement_kinds": lambda s, d: facts.classify_statements(statements(s)),
+    "fact_current_events": lambda s, d: facts.current_events(s.createDataFrame(EVENTS, "seq long, model_id string, listing string, announced string, retires string")),
+    "catalog_query": evaluated,
+    "catalog_query_reasons": lambda s, d: catalog.reason_counts(catalog.evaluate(before(s), QUERY)),
+    "catalog_lifecycle_diff": lambda s, d: catalog.lifecycle_diff(before(s), after(s)),
+    "catalog_merge_provider": lambda s, d: catalog.merge_provider(before(s), after(s), "openai"),
+    "catalog_retained": lambda s, d: catalog.retained(before(s), after(s), ["g-page", "oa-dep"]),
+    "catalog_export_coverage": lambda s, d: catalog.export_coverage(after(s), "2026-02-01", s.createDataFrame(NOTICES, "provider string, code string")),
+    "catalog_dangling": lambda s, d: catalog.dangling(before(s)),
+    "app_resolve": lambda s, d: catalog.resolve(references(s), before(s)),
+    "app_lifecycle_findings": lambda s, d: catalog.lifecycle_findings(catalog.resolve(references(s), before(s)), before(s)),
+}
+ORACLE_SQL = {
+    "fact_merge_by_rank": _S + """, w AS (SELECT *, max(rank) OVER (PARTITION BY provider, model_id, fact_name) AS top FROM s),
+f AS (SELECT provider, model_id, fact_name, value, min(seq) AS seq, arg_min(source_id, seq) AS source_id, arg_min(verified_at, seq) AS verified_at FROM w WHERE rank = top GROUP BY 1, 2, 3, 4)
+SELECT provider, model_id, fact_name, CASE WHEN count(*) = 1 THEN 'known' ELSE 'conflict' END AS status, CASE WHEN count(*) = 1 THEN min(value) END AS value, CASE WHEN count(*) = 1 THEN min(source_id) END AS source_id,
+CASE WHEN count(*) = 1 THEN min(verified_at) END AS verified_at, CASE WHEN count(*) > 1 THEN string_agg(value || '@' || source_id, '|' ORDER BY seq) END AS claims FROM f GROUP BY 1, 2, 3""",
+    "fact_statement_kinds": _S + """, w AS (SELECT *, max(rank) OVER (PARTITION BY provider, model_id, fact_name) AS top FROM s)
+SELECT provider, model_id, fact_name, CASE WHEN count(DISTINCT value_type) > 1 THEN 'incomparable' WHEN count(DISTINCT value) FILTER (rank = top) > 1 THEN 'winning_rank_conflict' WHEN count(DISTINCT value) = 1 THEN 'supporting' WHEN count(DISTINCT value) = 2 THEN 'override' ELSE 'lower_rank_disagreement' END AS kind,
+count(*) AS n_statements, count(DISTINCT value) AS n_values FROM w GROUP BY 1, 2, 3""",
+    "catalog_query": f"""WITH {_B}, p AS (SELECT model_key, provider, coalesce(disposition, 'legacy_uncertified') AS disposition, {', '.join(f"max(status) FILTER (fact_name = '{n}') AS {n}_s, max(value) FILTER (fact_name = '{n}' AND status = 'known') AS {n}_v" for n in ('lifecycle', 'api_access', 'input_modalities', 'context_window'))} FROM b GROUP BY 1, 2, 3),
+r AS (SELECT *, CASE WHEN disposition NOT IN ('currently_documented', 'legacy_uncertified') THEN 'not_currently_documented' ELSE concat_ws(',', CASE WHEN lifecycle_v IS NULL THEN 'lifecycle_not_verified' WHEN lifecycle_v <> 'active' THEN 'lifecycle_mismatch' END,
+CASE WHEN api_access_v IS NULL THEN 'api_access_not_verified' WHEN api_access_v <> 'true' THEN 'api_access_mismatch' END,
+CASE WHEN input_modalities_v IS NULL THEN 'input_modalities_not_verified' WHEN NOT list_has_all(string_split(input_modalities_v, ','), ['text', 'image']) THEN 'input_modalities_mismatch' END,
+CASE WHEN context_window_v IS NULL THEN 'context_missing_compatible' WHEN string_split(context_window_v, ':')[1] <> 'combined' THEN 'context_kind_mismatch' WHEN string_split(context_window_v, ':')[2]::BIGINT < 100000 THEN 'context_below_minimum' END) END AS reasons FROM p)
+SELECT model_key, provider, disposition, reasons = '' AS matched, reasons FROM r""",
+    "catalog_lifecycle_diff": f"""WITH {_B}, {_A}, kb AS (SELECT DISTINCT model_key, provider FROM b), ka AS (SELECT DISTINCT model_key, provider FROM a), k AS (SELECT coalesce(kb.model_key, ka.model_key) AS model_key, coalesce(kb.provider, ka.provider) AS provider, kb.model_key AS ob, ka.model_key AS oa FROM kb FULL JOIN ka USING (model_key, provider)),
+kk AS (SELECT * FROM k WHERE provider IN (SELECT provider FROM b)), names(fact_name, o) AS (VALUES ('lifecycle', 2), ('deprecated_at', 3), ('retirement_at', 4), ('replacement', 5), ('api_access', 6)),
+fb AS (SELECT model_key, fact_name, {_KEYED} AS v FROM b), fa AS (SELECT model_key, fact_name, {_KEYED} AS v FROM a)
+SELECT model_key, CASE WHEN ob IS NULL THEN 'added' ELSE 'removed' END AS change, CASE WHEN ob IS NULL THEN 0 ELSE 1 END::INT AS change_order, NULL::VARCHAR AS before_value, NULL::VARCHAR AS after_value FROM kk WHERE ob IS NULL OR oa IS NULL
+UNION ALL SELECT kk.model_key, names.fact_name || '_changed', o::INT, coalesce(fb.v, '?'), coalesce(fa.v, '?') FROM kk, names LEFT JOIN fb ON fb.model_key = kk.model_key AND fb.fact_name = names.fact_name LEFT JOIN fa ON fa.model_key = kk.model_key AND fa.fact_name = names.fact_name
+WHERE ob IS NOT NULL AND oa IS NOT NULL AND coalesce(fb.v, '?') <> coalesce(fa.v, '?')""",
+    "catalog_merge_provider": f"WITH {_B}, {_A} SELECT * FROM b WHERE provider <> 'openai' UNION ALL SELECT * FROM a WHERE provider = 'openai'",
+    "catalog_export_coverage": f"""WITH {_A}, n AS (SELECT * FROM {_values(NOTICES, 'provider, code')}), p AS (SELECT * FROM {_values([(x, i) for i, x in enumerate(catalog.PROVIDERS)], 'provider, position')}),
+h AS (SELECT provider, count(DISTINCT model_key) AS n_models, bool_or(source_id IS NOT NULL AND verified_at IS DISTINCT FROM '2026-02-01') AS stale FROM a GROUP BY 1), t AS (SELECT provider, bool_or(starts_with(code, 'PARTIAL')) AS partial, bool_or(starts_with(code, 'HISTORY_WRITE_FAILED')) AS history FROM n GROUP BY 1),
+j AS (SELECT provider, position::INT AS position, coalesce(n_models, 0)::BIGINT AS n_models, concat_ws(',', CASE WHEN n_models IS NULL THEN 'provider_missing' END, CASE WHEN stale THEN 'facts_not_from_this_snapshot' END, CASE WHEN partial THEN 'optional_source_failed' END, CASE WHEN history THEN 'history_write_failed' END) AS reasons FROM p LEFT JOIN h USING (provider) LEFT JOIN t USING (provider))
+SELECT *, reasons = '' AS complete FROM j""",
+    "catalog_dangling": f"WITH {_B}, e AS (SELECT model_key, value AS target FROM b WHERE fact_name = 'resolves_to') SELECT model_key, target, CASE WHEN target NOT IN (SELECT model_key FROM b) THEN 'target_missing' ELSE 'alias_of_alias' END AS problem FROM e WHERE target NOT IN (SELECT model_key FROM b) OR target IN (SELECT model_key FROM e)",
+    "app_resolve": f"WITH {_B}, {_RESOLVED} SELECT * FROM res",
+    "app_lifecycle_findings": f"""WITH {_B}, {_RESOLVED}, c AS (SELECT res.*, CASE WHEN match = 'exact' AND status = 'known' AND value IN ('deprecated', 'retired') THEN 'MODEL_' || upper(value) WHEN match = 'not_in_catalog' THEN 'MODEL_UNKNOWN' WHEN match = 'ambiguous' THEN 'MODEL_AMBIGUOUS' END AS code
+FROM res LEFT JOIN (SELECT * FROM b WHERE fact_name = 'lifecycle') l ON l.model_key = res.model_key) SELECT path, line, model_id, code, CASE code WHEN 'MODEL_RETIRED' THEN 'high' WHEN 'MODEL_DEPRECATED' THEN 'medium' ELSE 'info' END AS severity FROM c WHERE code IS NOT NULL""",
+}

@@ -1,4 +1,8 @@
 """Queries of the engine and SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import catalog_queries, corpus_queries
+
+QUERIES: dict = {**corpus_queries.QUERIES, **catalog_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus_queries.ORACLE_SQL, **catalog_queries.ORACLE_SQL}

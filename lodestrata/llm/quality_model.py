@@ -15,6 +15,8 @@ RANK = 8
 SAMPLE_DOCUMENTS = 6000
 SAMPLE_BYTES = 24 << 20
 THRESHOLD = 0.3
+#: Rows scored at a time.
+SLICE = 256
 
 #: Names of the dense features, in order; metadata is the length of the text, the only metadata that a score may use.
 DENSE = ("log_bytes", "log_words", "bytes_per_word", "distinct_share", "top_share", "lines_per_word", "upper_share", "digit_share", "punctuation_share", "symbol_share", "high_byte_share", "space_share", "short_share", "repeat_share", "bar_share", "capital_words")
@@ -171,7 +173,9 @@ def score(docs: DataFrame, model: FactorisationMachine, threshold: float = THRES
 
     def run(batches):
         for batch in batches:
-            s = model.score(features(batch.column("text")))
+            # some hundred rows at a time: the factors of all words of a slice are held at once
+            parts = [model.score(features(batch.column("text").slice(k, SLICE))) for k in range(0, batch.num_rows, SLICE)]
+            s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "score double", "predicted int"])

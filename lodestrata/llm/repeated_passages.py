@@ -21,8 +21,8 @@ LENGTH = 50
 GRAM = 26
 #: Windows hashed at a time (a place must fit the low 20 bits of a key), bytes of a block of documents and of a shard.
 WINDOWS = (1 << 20) - 256
-BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _LOW = np.uint64((1 << 20) - 1)
 
 

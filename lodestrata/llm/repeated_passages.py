@@ -195,7 +195,9 @@ def repeated(docs: DataFrame, workspace: Workspace, length: int = LENGTH) -> Dat
     workspace.drop("hits")
     by = Window.partitionBy("anchor")
     judged = spots.where("anchor IS NOT NULL").select("*", F.min("doc_id").over(Window.partitionBy("anchor", "mark")).alias("least"), (F.min("mark").over(by) < F.max("mark").over(by)).alias("mixed"))
-    judged = workspace.save(judged.where("doc_id > least OR mixed").select("doc_id", "start", "stop", F.when(F.col("doc_id") == F.col("least"), F.struct("block", "at", "anchor")).alias("open")), "judged")
+    settled = judged.where("doc_id > least OR mixed").select("doc_id", "start", "stop", F.when(F.col("doc_id") == F.col("least"), F.struct("block", "at", "anchor")).alias("open"))
+    judged = workspace.save(settled.union(spots.where("anchor IS NULL").select("doc_id", "start", "stop", F.lit(None).cast("struct<block:bigint,at:bigint,anchor:bigint>"))), "judged")
+    workspace.drop("spots")
     shards = max(6, int(judged.where("open IS NOT NULL").agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0) // SHARD_BYTES)
     wanted = judged.where("open IS NOT NULL").select("open.block", F.struct("open.at", "open.anchor", "doc_id", "start", "stop").alias("w")).groupBy("block").agg(F.collect_list("w").alias("wants"))
 
@@ -220,7 +222,8 @@ def repeated(docs: DataFrame, workspace: Workspace, length: int = LENGTH) -> Dat
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     ranged = pieces.select(shard, "doc_id", "start", "piece").repartition(shards, "shard").groupBy("shard").applyInArrow(sort, "doc_id long, start long, stop long")
     ranged = workspace.save(ranged, "sorted")
-    every = whole.union(spots.where("anchor IS NULL").select("doc_id", "start", "stop")).union(judged.where("open IS NULL").select("doc_id", "start", "stop")).union(ranged)
+    workspace.drop("blocks")
+    every = whole.union(judged.where("open IS NULL").select("doc_id", "start", "stop")).union(ranged)
     return every.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 

@@ -189,3 +189,42 @@ def lifecycle_findings(resolved: DataFrame, records: DataFrame) -> DataFrame:
     code = F.when(exact & (F.col("status") == "known") & F.col("value").isin("deprecated", "retired"), F.concat(F.lit("MODEL_"), F.upper("value"))).when(F.col("match") == "not_in_catalog", "MODEL_UNKNOWN").when(F.col("match") == "ambiguous", "MODEL_AMBIGUOUS")
     severity = F.when(F.col("code") == "MODEL_RETIRED", "high").when(F.col("code") == "MODEL_DEPRECATED", "medium").otherwise("info")
     return j.withColumn("code", code).where("code IS NOT NULL").select("path", "line", "model_id", "code", severity.alias("severity"))
+
+
+def shown_lifecycle(records: DataFrame) -> DataFrame:
+    """model_key, provider, shown: the known lifecycle, but uncertain where it is not known or an active model is not currently documented."""
+    wide = pivot(records, ("lifecycle",))
+    active_elsewhere = (F.col("lifecycle.value") == "active") & (F.col("disposition") != "currently_documented")
+    return wide.select("model_key", "provider", F.when(~_known("lifecycle") | active_elsewhere, "uncertain").otherwise(F.col("lifecycle.value")).alias("shown"))
+
+
+def lifecycle_counts(records: DataFrame) -> DataFrame:
+    return shown_lifecycle(records).groupBy("shown").agg(F.count("*").alias("n"))
+
+
+def context_audit(records: DataFrame) -> DataFrame:
+    """provider, models with a known context window of a stated kind, of unknown kind, in conflict, and not known."""
+    wide = pivot(records, ("context_window",))
+    kind = F.substring_index("context_window.value", ":", 1)
+    state = F.when(F.col("context_window.status") == "conflict", "conflict").when(~_known("context_window"), "not_known").when(kind == "unknown", "kind_unknown").otherwise("kind_stated")
+    own = wide.select("provider", state.alias("state"))
+    return own.groupBy("provider").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("kind_stated", "kind_unknown", "conflict", "not_known")))
+
+
+def expired_blobs(manifests: DataFrame, keep: int) -> DataFrame:
+    """hash of contents that only expired generations refer to. manifests: provider, generation (sortable), complete, hash.
+
+    Of each provider the last `keep` complete generations stay; generations that are not complete expire.
+    """
+    from pyspark.sql import Window
+
+    whole = manifests.where("complete").select("provider", "generation").distinct()
+    kept = whole.withColumn("r", F.row_number().over(Window.partitionBy("provider").orderBy(F.desc("generation")))).where(F.col("r") <= keep)
+    held = manifests.join(kept.select("provider", "generation"), ["provider", "generation"], "left_semi").select("hash").distinct()
+    return manifests.select("hash").distinct().join(held, "hash", "left_anti")
+
+
+def collapse_repeated(found: DataFrame, keys: list[str], message: str = "message") -> DataFrame:
+    """Equal findings as one, whose message says how often it came."""
+    g = found.groupBy(*keys, message).agg(F.count("*").alias("n"))
+    return g.withColumn(message, F.when(F.col("n") > 1, F.concat(F.col(message), F.lit(" Repeated "), F.col("n").cast("string"), F.lit(" times."))).otherwise(F.col(message))).drop("n")

@@ -57,6 +57,7 @@ AFTER = [
 _RE = "model_key string, provider string, disposition string, fact_name string, status string, value string, source_id string, verified_at string"
 NOTICES = [("google", "PARTIAL_MODEL_PAGES"), ("openai", "DOCUMENTED_SUBSET"), ("together", "HISTORY_WRITE_FAILED")]
 REFERENCES = [("a.py", 3, "openai", "m-one"), ("a.py", 9, "openai", "m-zzz"), ("b.py", 1, None, "m-two"), ("b.py", 2, None, "g-one"), ("c.json", None, "mistral", "x"), ("c.json", 4, None, "nope"), ("d.toml", 1, "openai", ""), ("d.toml", 2, "openai", "m-old")]
+MANIFESTS = [("openai", "g1", True, "h1"), ("openai", "g1", True, "h2"), ("openai", "g2", True, "h2"), ("openai", "g3", False, "h3"), ("openai", "g4", True, "h4"), ("google", "g1", True, "h5"), ("google", "g0", True, "h1")]
 EVENTS = [(1, "a", "past", "2025-01-01", "2025-06-01"), (2, "a", "past", "2025-03-01", "2025-09-01"), (3, "b", "past", None, "2025-01-01"), (4, "b", "upcoming", "2025-02-01", "2026-01-01"), (5, "c", None, None, "2025-01-01"), (6, "c", "past", "2025-01-01", None), (7, "d", "past", "2025-01-01", None), (8, "d", "past", None, "2025-02-01"), (9, "e", "past", None, "2025-02-01"), (10, "e", "past", None, "2025-03-01"), (11, "e", "past", None, "2025-03-01")]
 
 
@@ -118,6 +119,10 @@ QUERIES = {
     "catalog_retained": lambda s, d: catalog.retained(before(s), after(s), ["g-page", "oa-dep"]),
     "catalog_export_coverage": lambda s, d: catalog.export_coverage(after(s), "2026-02-01", s.createDataFrame(NOTICES, "provider string, code string")),
     "catalog_dangling": lambda s, d: catalog.dangling(before(s)),
+    "catalog_lifecycle_counts": lambda s, d: catalog.lifecycle_counts(before(s)),
+    "catalog_context_audit": lambda s, d: catalog.context_audit(before(s)),
+    "archive_expired_blobs": lambda s, d: catalog.expired_blobs(s.createDataFrame(MANIFESTS, "provider string, generation string, complete boolean, hash string"), 1),
+    "audit_collapse_repeated": lambda s, d: catalog.collapse_repeated(s.createDataFrame([*NOTICES, NOTICES[0]], "provider string, message string"), ["provider"]),
     "app_resolve": lambda s, d: catalog.resolve(references(s), before(s)),
     "app_lifecycle_findings": lambda s, d: catalog.lifecycle_findings(catalog.resolve(references(s), before(s)), before(s)),
 }
@@ -147,6 +152,10 @@ h AS (SELECT provider, count(DISTINCT model_key) AS n_models, bool_or(source_id
 j AS (SELECT provider, position::INT AS position, coalesce(n_models, 0)::BIGINT AS n_models, concat_ws(',', CASE WHEN n_models IS NULL THEN 'provider_missing' END, CASE WHEN stale THEN 'facts_not_from_this_snapshot' END, CASE WHEN partial THEN 'optional_source_failed' END, CASE WHEN history THEN 'history_write_failed' END) AS reasons FROM p LEFT JOIN h USING (provider) LEFT JOIN t USING (provider))
 SELECT *, reasons = '' AS complete FROM j""",
     "catalog_dangling": f"WITH {_B}, e AS (SELECT model_key, value AS target FROM b WHERE fact_name = 'resolves_to') SELECT model_key, target, CASE WHEN target NOT IN (SELECT model_key FROM b) THEN 'target_missing' ELSE 'alias_of_alias' END AS problem FROM e WHERE target NOT IN (SELECT model_key FROM b) OR target IN (SELECT model_key FROM e)",
+    "catalog_lifecycle_counts": f"WITH {_B}, p AS (SELECT model_key, coalesce(disposition, 'legacy_uncertified') AS disposition, max(status) FILTER (fact_name = 'lifecycle') AS st, max(value) FILTER (fact_name = 'lifecycle') AS v FROM b GROUP BY 1, 2) SELECT CASE WHEN coalesce(st, '') <> 'known' OR (v = 'active' AND disposition <> 'currently_documented') THEN 'uncertain' ELSE v END AS shown, count(*) AS n FROM p GROUP BY 1",
+    "catalog_context_audit": f"WITH {_B}, p AS (SELECT model_key, provider, max(status) FILTER (fact_name = 'context_window') AS st, max(value) FILTER (fact_name = 'context_window') AS v FROM b GROUP BY 1, 2) SELECT provider, count(*) FILTER (st = 'known' AND v NOT LIKE 'unknown:%') AS kind_stated, count(*) FILTER (st = 'known' AND v LIKE 'unknown:%') AS kind_unknown, count(*) FILTER (st = 'conflict') AS conflict, count(*) FILTER (coalesce(st, '') NOT IN ('known', 'conflict')) AS not_known FROM p GROUP BY 1",
+    "archive_expired_blobs": f"WITH m AS (SELECT * FROM {_values([(p, g, int(c), h) for p, g, c, h in MANIFESTS], 'provider, generation, complete, hash')}), k AS (SELECT provider, max(generation) AS generation FROM m WHERE complete = 1 GROUP BY 1) SELECT DISTINCT hash FROM m WHERE hash NOT IN (SELECT hash FROM m JOIN k USING (provider, generation))",
+    "audit_collapse_repeated": f"SELECT provider, CASE WHEN count(*) > 1 THEN message || ' Repeated ' || count(*) || ' times.' ELSE message END AS message FROM {_values([*NOTICES, NOTICES[0]], 'provider, message')} GROUP BY provider, v.message",
     "app_resolve": f"WITH {_B}, {_RESOLVED} SELECT * FROM res",
     "app_lifecycle_findings": f"""WITH {_B}, {_RESOLVED}, c AS (SELECT res.*, CASE WHEN match = 'exact' AND status = 'known' AND value IN ('deprecated', 'retired') THEN 'MODEL_' || upper(value) WHEN match = 'not_in_catalog' THEN 'MODEL_UNKNOWN' WHEN match = 'ambiguous' THEN 'MODEL_AMBIGUOUS' END AS code
 FROM res LEFT JOIN (SELECT * FROM b WHERE fact_name = 'lifecycle') l ON l.model_key = res.model_key) SELECT path, line, model_id, code, CASE code WHEN 'MODEL_RETIRED' THEN 'high' WHEN 'MODEL_DEPRECATED' THEN 'medium' ELSE 'info' END AS severity FROM c WHERE code IS NOT NULL""",

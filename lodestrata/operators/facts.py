@@ -113,3 +113,29 @@ def invalid_facts(facts: DataFrame) -> DataFrame:
         .when(F.col("status").isin("unknown", "not_applicable") & (F.col("source_id").isNull() | (n > 0)), "provenance")
     )
     return facts.withColumn("rule", rule).where("rule IS NOT NULL")
+
+
+def combined_context(facts: DataFrame) -> DataFrame:
+    """Context windows derived for text models: provider, model_id, status, value, claims.
+
+    facts: merged facts of one provider. Input and output limits add up where text is among the inputs and the only
+    output. An explicit window that is equal wins; one that differs makes a conflict; without limits it stays as it is.
+    """
+    pick = lambda n: F.max(F.when((F.col("fact_name") == n) & (F.col("status") == "known"), F.col("value"))).alias(n)
+    wide = facts.groupBy("provider", "model_id").agg(*map(pick, ("max_input", "max_output", "input_modalities", "output_modalities", "context_window")))
+    text = F.array_contains(F.split("input_modalities", ","), "text") & (F.col("output_modalities") == "text")
+    total = F.when(text, F.col("max_input").cast("long") + F.col("max_output").cast("long")).cast("string")
+    explicit = F.col("context_window")
+    differs = explicit.isNotNull() & total.isNotNull() & (explicit != total)
+    value = F.when(~differs | differs.isNull(), F.coalesce(explicit, total))
+    return wide.select("provider", "model_id", F.when(differs, "conflict").when(value.isNotNull(), "known").otherwise("unknown").alias("status"), value.alias("value"), F.when(differs, F.array(explicit, total)).alias("claims"))
+
+
+def closed_access(facts: DataFrame) -> DataFrame:
+    """Facts with api_access false, under the lifecycle's source, for models that are retired but state open access (google, fireworks, together)."""
+    w = Window.partitionBy("provider", "model_id")
+    life = F.max(F.when((F.col("fact_name") == "lifecycle") & (F.col("status") == "known") & (F.col("value") == "retired"), F.struct("source_id", "verified_at"))).over(w)
+    f = facts.withColumn("_life", life)
+    hit = F.col("provider").isin("google", "fireworks", "together") & F.col("_life").isNotNull() & (F.col("fact_name") == "api_access") & (F.col("status") == "known") & (F.col("value") == "true")
+    hit = F.coalesce(hit, F.lit(False))
+    return f.withColumns({"value": F.when(hit, "false").otherwise(F.col("value")), "source_id": F.when(hit, F.col("_life.source_id")).otherwise(F.col("source_id")), "verified_at": F.when(hit, F.col("_life.verified_at")).otherwise(F.col("verified_at"))}).drop("_life")

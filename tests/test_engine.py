@@ -91,6 +91,17 @@ def test_fact_invariants(spark):
     assert sorted(r["rule"] for r in facts.invalid_facts(spark.createDataFrame(rows, schema)).collect()) == ["conflict", "known", "provenance", "status"]
 
 
+def test_derived_facts(spark):
+    schema = "provider string, model_id string, fact_name string, status string, value string, source_id string, verified_at string"
+    own = lambda m, **f: [("google", m, k, "known", v, f"s-{k}", "t") for k, v in f.items()]
+    rows = own("a", max_input="10", max_output="5", input_modalities="text,image", output_modalities="text") + own("b", max_input="10", max_output="5", input_modalities="text", output_modalities="text", context_window="15")
+    rows += own("c", max_input="10", max_output="5", input_modalities="text", output_modalities="text", context_window="20") + own("d", max_input="10", max_output="5", input_modalities="text", output_modalities="image") + own("e", lifecycle="retired", api_access="true")
+    df = spark.createDataFrame(rows, schema)
+    got = {r["model_id"]: (r["status"], r["value"], r["claims"]) for r in facts.combined_context(df).collect()}
+    assert got == {"a": ("known", "15", None), "b": ("known", "15", None), "c": ("conflict", None, ["20", "15"]), "d": ("unknown", None, None), "e": ("unknown", None, None)}
+    assert [(r["value"], r["source_id"]) for r in facts.closed_access(df).where("fact_name = 'api_access'").collect()] == [("false", "s-lifecycle")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(TEXTS)], "path string, text string")
     docs.write.parquet(str(tmp_path / "in"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 # Providers in the order of an export, lifecycle facts in the order of a diff.
 PROVIDERS = ("openai", "anthropic", "google", "fireworks", "together")
-DIFF_FACTS = ("lifecycle", "deprecated_at", "retirement_at", "replacement", "api_access")
+# Changes of a model that is in both catalogs, in order, by the fact that differs.
+CHANGES = {"documentation": "documentation_changed", "lifecycle": "lifecycle_changed", "deprecated_at": "deprecation_date_changed", "retirement_at": "retirement_date_changed", "replacement": "replacement_changed"}
 
 
 @dataclass(frozen=True)
@@ -100,18 +101,22 @@ def semantic_key(status: Column, value: Column) -> Column:
 
 
 def lifecycle_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """model_key, change, before_value, after_value: models added and removed, and changes of lifecycle facts.
+    """model_key, change, before_value, after_value: models added and removed, and changes of disposition and lifecycle facts.
 
     Providers that had no rows before give none. Changes of one model come in fixed order, in column change_order.
     """
     old_providers = before.select("provider").distinct()
     keys = before.select("model_key", "provider").distinct().withColumn("a", F.lit(1)).join(after.select("model_key", "provider").distinct().withColumn("b", F.lit(1)), ["model_key", "provider"], "full_outer").join(old_providers, "provider", "left_semi")
     ends = keys.where("a IS NULL OR b IS NULL").select("model_key", F.when(F.col("a").isNull(), "added").otherwise("removed").alias("change"), F.when(F.col("a").isNull(), 0).otherwise(1).alias("change_order"), F.lit(None).cast("string").alias("before_value"), F.lit(None).cast("string").alias("after_value"))
-    order = F.element_at(F.create_map(*(F.lit(x) for i, f in enumerate(DIFF_FACTS) for x in (f, i + 2))), F.col("fact_name"))
-    pick = lambda df, n: df.where(F.col("fact_name").isin(*DIFF_FACTS)).select("model_key", "fact_name", semantic_key(F.col("status"), F.col("value")).alias(n))
+    table = lambda k: F.create_map(*(F.lit(x) for i, (f, name) in enumerate(CHANGES.items()) for x in (f, (name, i + 2)[k])))[F.col("fact_name")]
+
+    def pick(df: DataFrame, n: str) -> DataFrame:
+        own = df.where(F.col("fact_name").isin(*CHANGES)).select("model_key", "fact_name", semantic_key(F.col("status"), F.col("value")).alias(n))
+        return own.union(df.select("model_key", F.lit("documentation"), F.coalesce("disposition", F.lit("legacy_uncertified"))).distinct())
+
     both = keys.where("a IS NOT NULL AND b IS NOT NULL").select("model_key")
     facts = pick(before, "before_value").join(pick(after, "after_value"), ["model_key", "fact_name"], "full_outer").fillna("?", ["before_value", "after_value"]).where("before_value <> after_value").join(both, "model_key", "left_semi")
-    return ends.unionByName(facts.select("model_key", F.concat("fact_name", F.lit("_changed")).alias("change"), order.alias("change_order"), "before_value", "after_value"))
+    return ends.unionByName(facts.select("model_key", table(0).alias("change"), table(1).alias("change_order"), "before_value", "after_value"))
 
 
 def merge_provider(previous: DataFrame, incoming: DataFrame, provider: str) -> DataFrame:

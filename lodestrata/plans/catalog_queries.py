@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, facts
+from ..operators import audit, catalog, facts
 
 # seq, provider, model_id, fact_name, value, value_type, source_id, rank, verified_at
 STATEMENTS = [
@@ -108,7 +108,47 @@ m AS (SELECT r.*, k.model_key AS exact_key, u.only_key, CASE WHEN r.model_id = '
  WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'not_in_catalog' END AS match FROM r LEFT JOIN k ON r.provider = k.provider AND r.model_id = k.model_id LEFT JOIN u ON r.model_id = u.model_id),
 res AS (SELECT path, line, provider, model_id, match, CASE match WHEN 'exact' THEN exact_key WHEN 'unique' THEN only_key END AS model_key FROM m)"""
 
+# provider, model_key, fact_name, status, value, verified_at, content_hash
+STORED = [
+    ("openai", "openai:a", "lifecycle", "known", "active", "2026-01-02T00:00:00Z", "h1"),
+    ("openai", "openai:a", "context_window", "known", "10", "2026-01-02T00:00:00Z", "h9"),
+    ("openai", "openai:a", "family", "unknown", None, "2026-01-02T00:00:00Z", "h1"),
+    ("openai", "openai:a", "api_access", "not_verified", None, None, None),
+    ("openai", "openai:b", "lifecycle", "known", "retired", "2026-01-02T00:00:00Z", "h2"),
+    ("openai", "openai:b", "replacement", "known", "a", "2025-12-01T00:00:00Z", "h2"),
+    ("openai", "openai:b", "max_output", "known", "5", None, "h2"),
+    ("openai", "openai:b", "max_input", "known", "5", "yesterday", "h2"),
+    ("openai", "openai:gone", "lifecycle", "known", "active", "2026-01-02T00:00:00Z", "h1"),
+    ("google", "google:g", "lifecycle", "known", "active", "2026-01-03T00:00:00+00:00", "h3"),
+    ("together", "together:t", "lifecycle", "known", "active", "2025-01-01T00:00:00Z", "h5"),
+]
+_STO = "provider string, model_key string, fact_name string, status string, value string, verified_at string, content_hash string"
+REBUILT = [("openai:a", "lifecycle", "known", "active"), ("openai:a", "context_window", "known", "10"), ("openai:b", "lifecycle", "known", "deprecated"), ("google:g", "lifecycle", "known", "active")]
+GENERATIONS = [("openai", "2026-01-02T00-00-00Z"), ("google", "2026-01-03T00-00-00Z"), ("together", "2026-01-04T00-00-00Z"), ("fireworks", "2026-01-04T00-00-00Z")]
+HASHES = [("openai", "h1"), ("openai", "h2"), ("google", "h3")]
+CODES = ["PARTIAL_MODEL_PAGES", "PARTIAL_MODEL_PAGES:google", "HISTORY_WRITE_FAILED:openai", "fetch_failed together-docs-changelog", "OTHER:elsewhere", "OTHER"]
+SOURCES_SEEN = [("openai", "oa-index", "body one", "sha256:" + "0" * 64, 8), ("openai", "oa-dep", None, "sha256:1", 3), ("google", "g-index", "text", "sha256:982d9e3eb996f559e633f4d194def3761d909f5a3b647d1a851fead67c32c9d1", 4), ("google", "g-page", "text", "sha256:982d9e3eb996f559e633f4d194def3761d909f5a3b647d1a851fead67c32c9d1", 5)]
+
+
+def checked(spark, sf_dir: str) -> DataFrame:
+    return audit.reproducibility(spark.createDataFrame(STORED, _STO), spark.createDataFrame(REBUILT, "model_key string, fact_name string, status string, value string"), spark.createDataFrame(GENERATIONS, "provider string, generation string"), spark.createDataFrame(HASHES, "provider string, content_hash string"))
+
+
+_AUDIT = f"""WITH s AS (SELECT * FROM {_values(STORED, _names(_STO))}), n AS (SELECT * FROM {_values(REBUILT, 'model_key, fact_name, n_status, n_value')}), g AS (SELECT * FROM {_values(GENERATIONS, 'provider, generation')}), h AS (SELECT * FROM {_values(HASHES, 'provider, content_hash')}),
+q AS (SELECT s.*, g.generation, n.n_status, n.n_value, replace(replace(verified_at, '+00:00', 'Z'), ':', '-') AS own, regexp_full_match(coalesce(verified_at, ''), '\\d{{4}}-\\d\\d-\\d\\dT.*(Z|[+-]\\d\\d:\\d\\d)') AS valid, (s.provider, s.content_hash) IN (SELECT (provider, content_hash) FROM h) AS tied FROM s JOIN g USING (provider) LEFT JOIN n USING (model_key, fact_name)),
+r AS (SELECT *, CASE WHEN status = 'not_verified' THEN 'not_verified' WHEN status IN ('unknown', 'not_applicable') THEN 'unknown_global_fact' WHEN verified_at IS NULL THEN 'missing_generation_metadata' WHEN NOT valid THEN 'ambiguous_generation_provenance' WHEN own <> generation THEN 'retained_older_generation' WHEN NOT tied OR n_status IS NULL THEN 'required_archive_evidence_absent' END AS reason FROM q)
+SELECT provider, model_key, fact_name, generation, CASE WHEN reason IS NOT NULL THEN 'not_comparable' WHEN n_status = status AND n_value = value THEN 'comparable' ELSE 'mismatching' END AS status, reason FROM r"""
+
 QUERIES = {
+    "audit_reproducibility": checked,
+    "audit_check_summary": lambda s, d: audit.check_summary(checked(s, d)),
+    "audit_provider_clocks": lambda s, d: audit.provider_clocks(s.createDataFrame(STORED, _STO), s.createDataFrame(GENERATIONS, "provider string, generation string")),
+    "archive_verified_sources": lambda s, d: audit.verified_sources(s.createDataFrame(SOURCES_SEEN, "provider string, source_id string, body string, content_hash string, n_bytes long")),
+    "notice_providers": lambda s, d: audit.notice_providers(s.createDataFrame([(c,) for c in CODES], "code string")),
+    "catalog_absent_kept": lambda s, d: audit.keep_absent(before(s), after(s), "google", complete=True),
+    "catalog_explanations": lambda s, d: audit.explanations(catalog.evaluate(before(s), QUERY)),
+    "catalog_filtered": lambda s, d: audit.filter_models(before(s), text=" M-", lifecycle="uncertain", provider="openai"),
+    "catalog_history_events": lambda s, d: audit.history_events(before(s), after(s), "2026-02-01"),
     "fact_merge_by_rank": merged,
     "fact_statement_kinds": lambda s, d: facts.classify_statements(statements(s)),
     "fact_current_events": lambda s, d: facts.current_events(s.createDataFrame(EVENTS, "seq long, model_id string, listing string, announced string, retires string")),
@@ -127,6 +167,15 @@ QUERIES = {
     "app_lifecycle_findings": lambda s, d: catalog.lifecycle_findings(catalog.resolve(references(s), before(s)), before(s)),
 }
 ORACLE_SQL = {
+    "audit_reproducibility": _AUDIT,
+    "audit_check_summary": f"SELECT provider, count(*) FILTER (status = 'comparable') AS comparable, count(*) FILTER (status = 'mismatching') AS mismatching, count(*) FILTER (status = 'not_comparable') AS not_comparable FROM ({_AUDIT}) GROUP BY 1",
+    "audit_provider_clocks": f"""WITH s AS (SELECT * FROM {_values(STORED, _names(_STO))}), g AS (SELECT * FROM {_values(GENERATIONS, 'provider, generation')}),
+e AS (SELECT g.provider, generation, count(verified_at) AS n, count(DISTINCT verified_at) AS k, min(verified_at) AS one, coalesce(bool_or(NOT regexp_full_match(verified_at, '\\d{{4}}-\\d\\d-\\d\\dT.*(Z|[+-]\\d\\d:\\d\\d)')), false) AS bad FROM g LEFT JOIN s ON s.provider = g.provider GROUP BY 1, 2)
+SELECT provider, generation, CASE WHEN bad THEN 'invalid' WHEN n = 0 THEN 'missing' WHEN k > 1 THEN 'conflict' WHEN replace(replace(one, '+00:00', 'Z'), ':', '-') <> generation THEN 'historical' ELSE 'resolved' END AS status, n AS evidence_count, k AS n_timestamps FROM e""",
+    "archive_verified_sources": f"SELECT provider, source_id, CASE WHEN body IS NULL THEN 'blob_missing' WHEN 'sha256:' || sha256(body) <> content_hash THEN 'hash_mismatch' WHEN strlen(body) <> n_bytes THEN 'length_mismatch' ELSE 'verified' END AS state FROM {_values(SOURCES_SEEN, 'provider, source_id, body, content_hash, n_bytes')}",
+    "notice_providers": "SELECT code, CASE WHEN starts_with(code, 'HISTORY_WRITE_FAILED') THEN NULL WHEN code = 'PARTIAL_MODEL_PAGES' THEN 'openai' WHEN string_split(code, ':')[2] IN ('openai', 'anthropic', 'google', 'fireworks', 'together') THEN string_split(code, ':')[2] ELSE nullif(regexp_extract(code, '(openai|anthropic|google|fireworks|together)-docs-', 1), '') END AS provider FROM (VALUES " + ", ".join(f"('{c}')" for c in CODES) + ") v(code)",
+    "catalog_absent_kept": f"WITH {_B}, {_A} SELECT * FROM a UNION ALL SELECT model_key, provider, 'not_observed_in_current_capture', fact_name, status, value, source_id, verified_at FROM b WHERE provider = 'google' AND model_key NOT IN (SELECT model_key FROM a WHERE provider = 'google')",
+    "catalog_filtered": f"WITH {_B} SELECT DISTINCT model_key, provider FROM b WHERE provider = 'openai' AND contains(lower(model_key), 'm-') AND model_key NOT IN (SELECT model_key FROM b WHERE fact_name = 'lifecycle' AND status = 'known')",
     "fact_merge_by_rank": _S + """, w AS (SELECT *, max(rank) OVER (PARTITION BY provider, model_id, fact_name) AS top FROM s),
 f AS (SELECT provider, model_id, fact_name, value, min(seq) AS seq, arg_min(source_id, seq) AS source_id, arg_min(verified_at, seq) AS verified_at FROM w WHERE rank = top GROUP BY 1, 2, 3, 4)
 SELECT provider, model_id, fact_name, CASE WHEN count(*) = 1 THEN 'known' ELSE 'conflict' END AS status, CASE WHEN count(*) = 1 THEN min(value) END AS value, CASE WHEN count(*) = 1 THEN min(source_id) END AS source_id,
@@ -141,10 +190,10 @@ CASE WHEN input_modalities_v IS NULL THEN 'input_modalities_not_verified' WHEN N
 CASE WHEN context_window_v IS NULL THEN 'context_missing_compatible' WHEN string_split(context_window_v, ':')[1] <> 'combined' THEN 'context_kind_mismatch' WHEN string_split(context_window_v, ':')[2]::BIGINT < 100000 THEN 'context_below_minimum' END) END AS reasons FROM p)
 SELECT model_key, provider, disposition, reasons = '' AS matched, reasons FROM r""",
     "catalog_lifecycle_diff": f"""WITH {_B}, {_A}, kb AS (SELECT DISTINCT model_key, provider FROM b), ka AS (SELECT DISTINCT model_key, provider FROM a), k AS (SELECT coalesce(kb.model_key, ka.model_key) AS model_key, coalesce(kb.provider, ka.provider) AS provider, kb.model_key AS ob, ka.model_key AS oa FROM kb FULL JOIN ka USING (model_key, provider)),
-kk AS (SELECT * FROM k WHERE provider IN (SELECT provider FROM b)), names(fact_name, o) AS (VALUES ('lifecycle', 2), ('deprecated_at', 3), ('retirement_at', 4), ('replacement', 5), ('api_access', 6)),
-fb AS (SELECT model_key, fact_name, {_KEYED} AS v FROM b), fa AS (SELECT model_key, fact_name, {_KEYED} AS v FROM a)
+kk AS (SELECT * FROM k WHERE provider IN (SELECT provider FROM b)), names(fact_name, change, o) AS (VALUES ('documentation', 'documentation_changed', 2), ('lifecycle', 'lifecycle_changed', 3), ('deprecated_at', 'deprecation_date_changed', 4), ('retirement_at', 'retirement_date_changed', 5), ('replacement', 'replacement_changed', 6)),
+fb AS (SELECT model_key, fact_name, {_KEYED} AS v FROM b UNION SELECT model_key, 'documentation', coalesce(disposition, 'legacy_uncertified') FROM b), fa AS (SELECT model_key, fact_name, {_KEYED} AS v FROM a UNION SELECT model_key, 'documentation', coalesce(disposition, 'legacy_uncertified') FROM a)
 SELECT model_key, CASE WHEN ob IS NULL THEN 'added' ELSE 'removed' END AS change, CASE WHEN ob IS NULL THEN 0 ELSE 1 END::INT AS change_order, NULL::VARCHAR AS before_value, NULL::VARCHAR AS after_value FROM kk WHERE ob IS NULL OR oa IS NULL
-UNION ALL SELECT kk.model_key, names.fact_name || '_changed', o::INT, coalesce(fb.v, '?'), coalesce(fa.v, '?') FROM kk, names LEFT JOIN fb ON fb.model_key = kk.model_key AND fb.fact_name = names.fact_name LEFT JOIN fa ON fa.model_key = kk.model_key AND fa.fact_name = names.fact_name
+UNION ALL SELECT kk.model_key, names.change, o::INT, coalesce(fb.v, '?'), coalesce(fa.v, '?') FROM kk, names LEFT JOIN fb ON fb.model_key = kk.model_key AND fb.fact_name = names.fact_name LEFT JOIN fa ON fa.model_key = kk.model_key AND fa.fact_name = names.fact_name
 WHERE ob IS NOT NULL AND oa IS NOT NULL AND coalesce(fb.v, '?') <> coalesce(fa.v, '?')""",
     "catalog_merge_provider": f"WITH {_B}, {_A} SELECT * FROM b WHERE provider <> 'openai' UNION ALL SELECT * FROM a WHERE provider = 'openai'",
     "catalog_export_coverage": f"""WITH {_A}, n AS (SELECT * FROM {_values(NOTICES, 'provider, code')}), p AS (SELECT * FROM {_values([(x, i) for i, x in enumerate(catalog.PROVIDERS)], 'provider, position')}),

@@ -23,6 +23,8 @@ GRAM = 26
 WINDOWS = (1 << 20) - 256
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
+#: An anchor with more bytes of different places than this is not sorted in one shard; its strings are compared one by one.
+HOT_BYTES = 8 << 20
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -111,7 +113,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray):
     return out
 
 
-def repeated(docs: DataFrame, workspace: Workspace, length: int = LENGTH) -> DataFrame:
+def repeated(docs: DataFrame, workspace: Workspace, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """gone_id, spans: of each document the ranges [from, to) of UTF-8 bytes that are covered by strings of `length`
     bytes which also start in a document with a smaller doc_id. Ranges may overlap; documents without any are missing.
 
@@ -119,7 +121,9 @@ def repeated(docs: DataFrame, workspace: Workspace, length: int = LENGTH) -> Dat
     one document. Steps: texts equal to one of a smaller doc_id are removed whole; the others are written in blocks;
     anchors of each block travel as packed 32-bit numbers to the task of their leading bits, which names those that
     stand in several documents; the places of these are dealt by anchor, equal places being one with their smallest
-    document; places that differ are sorted in shards, and what stands in several of them goes.
+    document; places that differ are sorted in shards, and what stands in several of them goes. An anchor with more
+    than hot_bytes of different places would make a large shard: each string of its places is a row by itself, and the
+    smallest document of equal ones is a grouped minimum, which needs no task to hold them all.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}")
     prints = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("print"), F.octet_length("text").alias("n"))
@@ -199,7 +203,12 @@ def repeated(docs: DataFrame, workspace: Workspace, length: int = LENGTH) -> Dat
     judged = workspace.save(settled.union(spots.where("anchor IS NULL").select("doc_id", "start", "stop", F.lit(None).cast("struct<block:bigint,at:bigint,anchor:bigint>"))), "judged")
     workspace.drop("spots")
     shards = max(6, int(judged.where("open IS NOT NULL").agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0) // SHARD_BYTES)
-    wanted = judged.where("open IS NOT NULL").select("open.block", F.struct("open.at", "open.anchor", "doc_id", "start", "stop").alias("w")).groupBy("block").agg(F.collect_list("w").alias("wants"))
+    opened = judged.where("open IS NOT NULL").select("open.block", "open.at", "open.anchor", "doc_id", "start", "stop")
+    hot = workspace.save(opened.groupBy("anchor").agg(F.sum(F.col("stop") - F.col("start")).alias("n")).where(F.col("n") > hot_bytes).select("anchor"), "hot")
+    any_hot = not hot.isEmpty()
+
+    def wanted(places: DataFrame) -> DataFrame:
+        return places.select("block", F.struct("at", "anchor", "doc_id", "start", "stop").alias("w")).groupBy("block").agg(F.collect_list("w").alias("wants"))
 
     def cut(batches):
         for batch in batches:
@@ -210,7 +219,8 @@ def repeated(docs: DataFrame, workspace: Workspace, length: int = LENGTH) -> Dat
                 pieces = [bytes(data[a : a + n]) for a, n in zip(at.tolist(), (end - begin).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([w.field("anchor"), w.field("doc_id"), w.field("start"), pa.array(pieces, pa.binary())], names=["anchor", "doc_id", "start", "piece"])
 
-    pieces = wanted.join(blocks.select("block", "data"), "block").select("data", "wants").mapInArrow(cut, "anchor long, doc_id long, start long, piece binary")
+    def pieces(places: DataFrame) -> DataFrame:
+        return wanted(places).join(blocks.select("block", "data"), "block").select("data", "wants").mapInArrow(cut, "anchor long, doc_id long, start long, piece binary")
 
     def sort(table: pa.Table) -> pa.Table:
         owner, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
@@ -220,8 +230,17 @@ def repeated(docs: DataFrame, workspace: Workspace, length: int = LENGTH) -> Dat
         return pa.table({"doc_id": owner[k], "start": start[k] + lo, "stop": start[k] + hi})
 
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    ranged = pieces.select(shard, "doc_id", "start", "piece").repartition(shards, "shard").groupBy("shard").applyInArrow(sort, "doc_id long, start long, stop long")
+    cold = pieces(opened.join(hot, "anchor", "left_anti") if any_hot else opened)
+    ranged = cold.select(shard, "doc_id", "start", "piece").repartition(shards, "shard").groupBy("shard").applyInArrow(sort, "doc_id long, start long, stop long")
     ranged = workspace.save(ranged, "sorted")
+    if any_hot:
+        own = pieces(opened.join(hot, "anchor", "left_semi")).withColumn("k", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - length)))
+        own = own.select("doc_id", (F.col("start") + F.col("k")).alias("start"), F.md5(F.substring(F.col("piece"), F.col("k") + 1, F.lit(length))).alias("string"))
+        own = workspace.save(own, "strings")
+        first = own.groupBy("string").agg(F.min("doc_id").alias("least"))
+        again = own.join(first, "string").where("doc_id > least").select("doc_id", "start", (F.col("start") + length).alias("stop"))
+        ranged = ranged.union(workspace.save(again, "again"))
+        workspace.drop("strings")
     workspace.drop("blocks")
     every = whole.union(judged.where("open IS NULL").select("doc_id", "start", "stop")).union(ranged)
     return every.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

@@ -119,8 +119,9 @@ def test_op8_lines(spark, docs, rows, empty):
         assert r["text"] == keep and r["score"] == "s" and r["node"] == 1
 
 
-def test_op7_passages(spark, docs, rows, empty):
-    got = repeated_passages.remove(docs, repeated_passages.repeated(docs, Workspace(spark, "t7"))).collect()
+@pytest.mark.parametrize("hot_bytes", [repeated_passages.HOT_BYTES, 200, 0])
+def test_op7_passages(spark, docs, rows, empty, hot_bytes):
+    got = repeated_passages.remove(docs, repeated_passages.repeated(docs, Workspace(spark, "t7"), hot_bytes=hot_bytes)).collect()
     assert repeated_passages.remove(empty, repeated_passages.repeated(empty, Workspace(spark, "t7"))).count() == 0
     seen = {}
     for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):

@@ -139,15 +139,22 @@ def test_op7_passages(spark, docs, rows, empty, hot_bytes):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == (len(b), int(gone.sum()), runs, kept)
 
 
-def test_suffix_order_with_runs_on_disk(monkeypatch):
-    monkeypatch.setattr(induced_sorting.RunQueue.__init__, "__defaults__", (64,))
+@pytest.mark.parametrize("limit", [induced_sorting.QUEUE_BYTES, 64])
+def test_suffix_order_and_common_prefixes(monkeypatch, limit):
+    monkeypatch.setattr(induced_sorting, "QUEUE_BYTES", limit)
     rng = random.Random(9)
-    for _ in range(60):
-        own = [bytes(rng.choices(b"ab", k=rng.randrange(0, 25))) for _ in range(rng.randrange(1, 9))]
-        text = np.array([x for s in own for x in [*(b + 1 for b in s), 0]], np.int16)
-        order, plain = induced_sorting.suffix_order(text), text.tolist()
-        found = [plain[i : plain.index(0, i) + 1] for i in order]
-        assert sorted(order.tolist()) == list(range(len(text))) and found == sorted(found)
+    for letters in (b"a", b"ab", b"abcd", bytes(range(256))):
+        for _ in range(40):
+            base = bytes(rng.choices(letters, k=200))
+            own = [bytes(rng.choices(letters, k=rng.randrange(0, 60))) for _ in range(rng.randrange(1, 9))]
+            own += [base[a : a + rng.randrange(60)] for a in (rng.randrange(200) for _ in range(5))]
+            text = np.array([x for s in own for x in [*(b + 1 for b in s), 0]], np.int32)
+            order, shared = induced_sorting.suffix_order(text)
+            plain = text.tolist()
+            found = [plain[i : plain.index(0, i)] for i in order]
+            assert sorted(order.tolist()) == list(range(len(text))) and found == sorted(found)
+            for one, other, n in zip(found, found[1:], shared[1:].tolist(), strict=True):
+                assert one[:n] == other[:n] and (n == min(len(one), len(other)) or one[n] != other[n])
 
 
 def test_op2_embeddings(spark):

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced_sorting import repeated_strings
@@ -197,11 +197,16 @@ def repeated(docs: DataFrame, workspace: Workspace, length: int = LENGTH, hot_by
 
     spots = workspace.save(blocks.join(hits, "block").mapInArrow(found, "doc_id long, start long, stop long, block long, at long, anchor long, mark long"), "spots")
     workspace.drop("hits")
-    by = Window.partitionBy("anchor")
-    judged = spots.where("anchor IS NOT NULL").select("*", F.min("doc_id").over(Window.partitionBy("anchor", "mark")).alias("least"), (F.min("mark").over(by) < F.max("mark").over(by)).alias("mixed"))
-    settled = judged.where("doc_id > least OR mixed").select("doc_id", "start", "stop", F.when(F.col("doc_id") == F.col("least"), F.struct("block", "at", "anchor")).alias("open"))
+    # grouped minima, which tasks combine before they travel: one anchor may have any share of all places
+    kinds = spots.where("anchor IS NOT NULL").groupBy("anchor", "mark").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    kinds = workspace.save(kinds, "kinds")
+    mixed = kinds.groupBy("anchor").agg((F.min("mark") < F.max("mark")).alias("mixed"))
+    # a place that stands once and alone at its anchor needs no look
+    seen = kinds.join(mixed, "anchor").where("mixed OR n > 1").select("anchor", "mark", "least", "mixed")
+    settled = spots.where("anchor IS NOT NULL").join(seen, ["anchor", "mark"]).where("doc_id > least OR mixed").select("doc_id", "start", "stop", F.when(F.col("doc_id") == F.col("least"), F.struct("block", "at", "anchor")).alias("open"))
     judged = workspace.save(settled.union(spots.where("anchor IS NULL").select("doc_id", "start", "stop", F.lit(None).cast("struct<block:bigint,at:bigint,anchor:bigint>"))), "judged")
     workspace.drop("spots")
+    workspace.drop("kinds")
     shards = max(6, int(judged.where("open IS NOT NULL").agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0) // SHARD_BYTES)
     opened = judged.where("open IS NOT NULL").select("open.block", "open.at", "open.anchor", "doc_id", "start", "stop")
     hot = workspace.save(opened.groupBy("anchor").agg(F.sum(F.col("stop") - F.col("start")).alias("n")).where(F.col("n") > hot_bytes).select("anchor"), "hot")

@@ -23,16 +23,16 @@ SIGNALS = {
 
 @dataclass(frozen=True)
 class Rules:
-    """Fixed base cutoffs, and how far beyond its group's median a document may lie: the larger of `spread` times the
-    distance from the median to the quantile `high`, and the floor of the signal. Groups below `least` documents use
-    the thresholds over all documents."""
+    """Fixed base cutoffs, and how far beyond its group's median a document may lie. tails: signal, high, spread, least
+    distance: the larger of `spread` times the distance from the median to the quantile `high`, and the least distance,
+    which only matters where the two quantiles nearly meet. Repeats are rare in clean texts, so their quantile lies far
+    out; symbols and long words may mark a tenth of a group as junk, so theirs does not. Groups below `least` documents
+    use the thresholds over all documents."""
 
     min_words: int = 20
     repeat_percent: int = 30
-    high: float = 0.75
-    spread: float = 6.0
     least: int = 50
-    floors: tuple[tuple[str, int], ...] = (("symbols", 60), ("dup_lines", 500), ("repeats", 300), ("long_words", 6000))
+    tails: tuple[tuple[str, float, float, int], ...] = (("symbols", 0.75, 6.0, 10), ("dup_lines", 0.98, 2.0, 10), ("repeats", 0.98, 2.0, 10), ("long_words", 0.75, 8.0, 100))
 
 
 def bind(value: Column, body) -> Column:
@@ -82,8 +82,8 @@ def signal(name: str) -> Column:
     return F.when(F.col(whole) > 0, F.floor(F.col(part) * 1000 / F.col(whole))).otherwise(0).cast("long")
 
 
-#: Cells of the sketch: exact below 2^CELL_BITS, then 2^(CELL_BITS-1) cells to each doubling, an error below 1 / 32.
-CELL_BITS = 6
+#: Cells of the sketch: exact below 2^CELL_BITS, then 2^(CELL_BITS-1) cells to each doubling, an error below 1 / 256.
+CELL_BITS = 9
 
 
 def cell(x: Column) -> Column:
@@ -97,8 +97,8 @@ def sketches(measured: DataFrame) -> DataFrame:
     """Mergeable quantile sketches as rows: sketch_lang, sketch_source, signal, cell, n.
 
     Counts of log-spaced cells add up in any order, so the sketch of a union is the sum of sketches, retries and other
-    orders give the same result, and a group has at most some hundred cells whatever its number of documents. The sums
-    begin in each task, so a group with a third of all rows is a few hundred rows of shuffle.
+    orders give the same result, and a group has at most some thousand cells whatever its number of documents. The sums
+    begin in each task, so a group with a third of all rows is at most that many rows of shuffle from each task.
     """
     some = F.array(*(F.struct(F.lit(k).alias("signal"), cell(signal(k)).alias("cell")) for k in SIGNALS))
     one = measured.where("NOT base_failed").select(F.col("lang").alias("sketch_lang"), F.col("source").alias("sketch_source"), F.explode(some).alias("s"))
@@ -115,9 +115,9 @@ def thresholds(sketch: DataFrame, rules: Rules = Rules(), by: tuple[str, ...] =
     w = Window.partitionBy(*by, "signal")
     run = cells.withColumn("upto", F.sum("n").over(w.orderBy("cell"))).withColumn("all_n", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all_n"), F.col("cell")))
-    floors = F.create_map(*(F.lit(x) for kv in rules.floors for x in kv))
-    limit = run.groupBy(*by, "signal").agg(at(0.5).alias("mid"), at(rules.high).alias("top"), F.max("all_n").alias("group_n"))
-    limit = limit.withColumn("most", F.col("mid") + F.greatest((rules.spread * (F.col("top") - F.col("mid"))).cast("long"), floors[F.col("signal")].cast("long")))
+    tail = lambda k: F.create_map(*(F.lit(x) for t in rules.tails for x in (t[0], t[k])))[F.col("signal")]
+    limit = run.groupBy(*by, "signal").agg(at(0.5).alias("mid"), at(tail(1)).alias("top"), F.max("all_n").alias("group_n"))
+    limit = limit.withColumn("most", F.col("mid") + F.greatest((tail(2) * (F.col("top") - F.col("mid"))).cast("long"), tail(3).cast("long")))
     return limit.groupBy(*by).agg(F.max("group_n").alias("group_n"), *(F.max(F.when(F.col("signal") == k, F.col("most"))).alias(f"max_{k}") for k in SIGNALS))
 
 

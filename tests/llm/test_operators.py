@@ -196,6 +196,56 @@ def test_op5_rules(spark, docs, rows, empty):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(cover) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_op5_verdict(spark):
+    """Limits follow the groups' own quantiles, and each signal can fail a document that keeps to the base rules."""
+    rng, rules = random.Random(8), quality_rules.Rules()
+
+    def text(group, k):
+        w = [["ab", "abc", "abcd"][rng.randrange(3)] * (1 + group) + str(rng.randrange(9999)) for _ in range(64)]
+        for at in range(group * rng.randrange(3)):
+            w[at] = "#" + w[at]
+        out = [" ".join(w[i : i + 8]) for i in range(0, 64, 8)]
+        if group == 2 and k % 8 == 0:
+            out[1] = out[0]
+        return out
+
+    docs = []
+    for group in range(3):
+        docs += [(len(docs) + k, text(group, k), "en" if group else None, f"s{group}") for k in range(70)]
+    odd = [text(0, 1) for _ in range(4)]
+    odd[0] = [x.replace(" ", " ##") for x in odd[0]]
+    odd[1] += ["one line", "one line", "one line"]
+    odd[2] = [*odd[2], "a b c d e f g h", "a b c d e f g h i"]
+    odd[3] = [" ".join(x + "wwwwwwwwww" for x in t.split(" ")) for t in odd[3]]
+    docs += [(1000 + k, t, None, "s0") for k, t in enumerate(odd)] + [(2000 + k, text(1, k), "de", "few") for k in range(5)] + [(3000, ["too short"], "en", "s1")]
+    rows = [(i, "\n".join(t), a, b) for i, t, a, b in docs]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3), workspace=Workspace(spark, "t5v")).collect()}
+
+    def values(r):
+        return {k: 1000 * r[a] // r[b] if r[b] else 0 for k, (a, b) in quality_rules.SIGNALS.items()}
+
+    def limits(group):
+        out = {}
+        for name, high, spread, least in rules.tails:
+            cells = sorted(x >> max(0, x.bit_length() - 9) << max(0, x.bit_length() - 9) for x in (values(r)[name] for r in group))
+            mid, top = (next(x for j, x in enumerate(cells, 1) if x != (cells[j] if j < len(cells) else None) and j >= q * len(cells)) for q in (0.5, high))
+            out[name] = mid + max(int(spread * (top - mid)), least)
+        return out
+
+    groups = {}
+    for r in got.values():
+        if not r["base_failed"]:
+            groups.setdefault((r["lang"], r["source"]), []).append(r)
+    every = limits([r for g in groups.values() for r in g])
+    own = {k: limits(g) if len(g) >= rules.least else every for k, g in groups.items()}
+    for r in got.values():
+        failed = sorted(k for k, x in values(r).items() if x > own[r["lang"], r["source"]][k])
+        assert r["failed_signals"] == ",".join(failed) and r["kept"] == (not r["base_failed"] and not failed), r["doc_id"]
+    assert all(k in got[1000 + i]["failed_signals"].split(",") for i, k in enumerate(quality_rules.SIGNALS))
+    assert not any(got[1000 + k]["base_failed"] for k in range(4)) and got[3000]["base_failed"]
+    assert all(len({x[k] for x in own.values()}) > 1 for k in quality_rules.SIGNALS)
+
+
 def test_op4_sql_and_edges(spark, docs, empty):
     compare(spark, mixing.op4_poisson_mixing, mixing.OP4_SQL, SF)
     assert mixing.mix(empty).count() == 0

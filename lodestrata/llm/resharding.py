@@ -11,6 +11,8 @@ from .shared import Workspace
 
 #: Blocks of an old shard. Their sums are what the driver sees: old shards times BLOCKS numbers, whatever the rows.
 BLOCKS = 256
+#: Rows of a shard that rewrite() gives to one task.
+FILE_ROWS = 4096
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -141,16 +143,36 @@ def reshard(docs: DataFrame, old_shards: int, shards: int, workspace: Workspace,
     return place(sized(docs, old_shards, old), shards, workspace, capacity)
 
 
-def rewrite(placed: DataFrame, path: str) -> None:
-    """Writes the shards that gain or lose rows, each in its own folder below path; the others' files stay as they are."""
-    moved = placed.where(F.col("old_shard") != F.col("shard"))
-    touched = moved.select(F.col("shard").alias("t")).union(moved.select(F.col("old_shard"))).distinct()
-    placed.join(F.broadcast(touched), placed["shard"] == F.col("t"), "left_semi").repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def rewrite(placed: DataFrame, path: str, first: bool = False) -> None:
+    """Makes the files below path, shard=K/ each, those of the new shards: writes every shard that gains or loses rows
+    anew and removes folders of shards that are left without rows; the files of all others stay as they are. first: the
+    old shards do not lie below path yet, so all are written.
+
+    placed must not be read from the files below path (place() gives a written table). Columns are those of placed
+    but old_shard. Runs of FILE_ROWS slots go to a task each, so that a large shard is several sorted files.
+    """
+    spark = placed.sparkSession
+    moves = [(r[0], r[1]) for r in placed.select("old_shard", "shard").distinct().collect()]
+    touched = sorted({s for a, b in moves if first or a != b for s in (a, b)})
+    rows = placed.where(F.col("shard").isin(touched)).drop("old_shard")
+    dealt = rows.repartition("shard", F.floor(F.col("slot") / FILE_ROWS)).sortWithinPartitions("shard", "slot")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
+    for s in sorted(set(touched) - {b for _, b in moves}):
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def op6_min_cost_flow_resharding(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    row = (F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_at"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *row)
+    workspace = Workspace(spark, "op6")
     # sizes are taken from the texts at once; what is placed and numbered is then a few numbers per document
-    out = place(sized(docs.select("doc_id", "text", crc), 16).drop("text"), 24, Workspace(spark, "op6"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = place(sized(docs, 16).drop("text"), 24, workspace)
+    spots = workspace.save(placed.select("row_file", "row_at", "old_shard", "shard", "slot"), "spots")
+    workspace.drop("placed")
+    path = f"{workspace.root}/shards"
+    rewrite(docs.join(spots.hint("shuffle_hash"), ["row_file", "row_at"]).drop("row_file", "row_at"), path, first=True)  # the given table is one file: its 16 shards are hashes
+    written = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return written.select("doc_id", size, crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

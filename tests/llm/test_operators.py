@@ -297,6 +297,33 @@ def test_op6_resharding(spark, docs, rows, empty):
     assert all(r["size"] == len((r["text"] or "").encode()) + 8 for r in got)
 
 
+def test_op6_rewrites_affected_shards(spark, tmp_path):
+    """Of four shards on disk, 3 goes to 0: 0 is written anew, 3 is gone, the files of 1 and 2 are the same as before."""
+    rng, path = random.Random(9), f"{tmp_path}/shards"
+    rows = [(i, words(rng, rng.randrange(1, 40)), i % 4) for i in range(80)] + [(None, None, 3), (3, "", 3), (3, "", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(2).write.partitionBy("shard").parquet(path)
+    files = lambda *keep: {p.relative_to(tmp_path).as_posix(): (p.read_bytes(), p.stat().st_mtime_ns) for k in keep for p in tmp_path.glob(f"shards/shard={k}/*.parquet")}
+    before = files(1, 2)
+    size = [sum(len((t or "").encode()) + 8 for _, t, k in rows if k == s) for s in range(4)]
+    placed = resharding.reshard(spark.read.parquet(path), 4, 3, Workspace(spark, "t6w"), "shard", [size[0] + size[3], size[1], size[2]])
+    resharding.rewrite(placed, path)
+    assert before and files(1, 2) == before and not (tmp_path / "shards/shard=3").exists()
+    got = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path).collect()
+    want = [(i, t, 0 if k == 3 else k) for i, t, k in rows]
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["shard"]) for r in got))) == sorted(map(repr, want))
+    assert sorted(r["slot"] for r in got if r["shard"] == 0) == list(range(sum(k in (0, 3) for _, _, k in rows)))
+
+
+def test_op6_query(spark, tmp_path):
+    """The digest is read from written files: every row once, repeated ones and null ids too."""
+    rows = [(i // 2 if i else None, None if i == 5 else f"text {i // 4} é", "en") for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = resharding.op6_min_cost_flow_resharding(spark, str(tmp_path))
+    assert out.inputFiles() and all("/shard=" in f for f in out.inputFiles())
+    got = sorted(repr((r["doc_id"], r["size"], r["text_crc32"])) for r in out.collect())
+    assert got == sorted(repr((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))) for i, t, _ in rows)
+
+
 def test_op10_language(spark, docs, rows, empty):
     model = language.fit(docs)
     got = language.identify(docs, model).collect()

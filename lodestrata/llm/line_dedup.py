@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import distinct, linked, shared_buckets
-from .shared import Workspace, buffers, mix, prefix, slices, span
+from .shared import _IS_SEP, Workspace, buffers, mix, prefix, slices, span
 
 SHINGLE = 8
 PERCENT = 80
-#: Shorter lines are structure (headings, brackets, list marks, blank lines): they are neither compared nor removed.
+#: Shorter lines go where they equal an earlier line, but are not compared further. Blank lines stay.
 MIN_BYTES = 32
 #: A pair at Jaccard 0.8 shares one of 11 bands of 3 coordinates with probability 1 - (1 - 0.8^3)^11 > 0.9996.
 BANDS, ROWS = 11, 3
@@ -67,7 +67,7 @@ def line_bands(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, line_no, node (a 64-bit fingerprint of the line) and the buckets of each line of min_bytes or more.
+    """doc_id, line_no, node (a 64-bit fingerprint of the line) and the buckets of each line that is not blank; shorter than min_bytes: null.
 
     A line seen before in the same batch has null buckets, since one of a kind is enough. Lines differ in fingerprint
     with probability 2^-64 a pair; what is joined is verified on the lines themselves.
@@ -81,17 +81,19 @@ def sketch(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             for i, j in slices(offsets):
                 d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 rows, number, starts, stops = line_spans(d, o)
-                long = stops - starts >= max(min_bytes, SHINGLE)
-                rows, number, starts, stops = rows[long], number[long], starts[long], stops[long]
+                dark = np.concatenate([[0], np.cumsum(~_IS_SEP[d])])
+                own = dark[stops] > dark[starts]
+                rows, number, starts, stops = rows[own], number[own], starts[own], stops[own]
                 if not len(rows):
                     continue
                 sums = prefix(d)
                 nodes = mix(span(sums, starts, stops) + (stops - starts).astype(np.uint64)).view(np.int64)
-                fresh = np.zeros(len(nodes), bool)
-                for k, x in enumerate(nodes.tolist()):
-                    if x not in seen:
+                fresh = stops - starts >= max(min_bytes, SHINGLE)
+                for k in np.flatnonzero(fresh).tolist():
+                    if (x := int(nodes[k])) in seen:
+                        fresh[k] = False
+                    else:
                         seen.add(x)
-                        fresh[k] = True
                 at = np.flatnonzero(fresh)
                 places = np.zeros((len(at), BANDS), np.int64)
                 for p in range(0, len(at), 4096):
@@ -125,8 +127,8 @@ def fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with text without its repeated lines, and with n_lines, n_removed_lines (long) and removed_lines (numbers from 0).
 
-    Lines are what \\n separates. Those of min_bytes UTF-8 bytes or more that are equal, or whose sets of 8-byte
-    shingles have a Jaccard similarity of percent / 100 or more, are linked; of each component of linked lines the
+    Lines are what \\n separates. Those that are not blank and equal, or have min_bytes UTF-8 bytes or more and sets of 8-byte
+    shingles with a Jaccard similarity of percent / 100 or more, are linked; of each component of linked lines the
     first by (doc_id, line number) stays and all others go, within and across documents. Equal lines are one node, so
     a line that a third of all documents hold is one row of the graph. Null and empty texts have no line to remove;
     null texts stay null. Rows with null doc_id take no part and stay as they are. Rows that share a doc_id count as

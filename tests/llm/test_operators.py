@@ -119,6 +119,17 @@ def test_op8_lines(spark, docs, rows, empty):
         assert r["text"] == keep and r["score"] == "s" and r["node"] == 1
 
 
+def removed(spark, texts, name):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {(r["doc_id"], k) for r in line_dedup.dedup_lines(docs, Workspace(spark, name)).collect() for k in r["removed_lines"]}
+
+
+def test_op8_short_lines_by_equality(spark):
+    """Lines of any length that are not blank go where an earlier line is equal; blank ones and others stay."""
+    texts = ["Released under the MIT License.\n\n \t\n}\n版权所有\nChapter 1", "own\n\n}\nReleased under the MIT License.", "版权所有\n \t\nChapter 2\nabc\nabc"]
+    assert removed(spark, texts, "t8s") == {(1, 2), (1, 3), (2, 0), (2, 4)}
+
+
 @pytest.mark.parametrize("hot_bytes", [repeated_passages.HOT_BYTES, 200, 0])
 def test_op7_passages(spark, docs, rows, empty, hot_bytes):
     got = repeated_passages.remove(docs, repeated_passages.repeated(docs, Workspace(spark, "t7"), hot_bytes=hot_bytes)).collect()

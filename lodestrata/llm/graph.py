@@ -116,11 +116,12 @@ def shared_buckets(found: DataFrame, workspace: Workspace) -> DataFrame:
     return workspace.save(rows, "buckets")
 
 
-def linked(rows: DataFrame, texts: DataFrame, sets: Callable, percent: int, workspace: Workspace, sizes: DataFrame | None = None) -> DataFrame:
+def linked(rows: DataFrame, texts: DataFrame, sets: Callable, percent: int, workspace: Workspace, sizes: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """node, component for the nodes that links join: pairs of one bucket with 100 * intersection >= percent * union.
 
     rows: what shared_buckets() gives; texts: node, t of the nodes in it; sets: makes a sorted array of distinct
-    numbers of each text of an Arrow column; sizes: node, n, the sizes of the sets, to spare pairs that differ too much.
+    numbers of each text of an Arrow column; sizes: node, n, the sizes of the sets, to spare pairs that differ too much;
+    known: a, b, links that need no comparison.
     Nodes are representatives of exact copies. In a bucket every node is first compared with the smallest, its leader,
     so that a group of n near copies costs n comparisons and not n^2. Buckets whose nodes are then still in several
     components are compared in full: small ones as pairs, larger ones in blocks of BLOCK by BLOCK members, each block a
@@ -154,7 +155,7 @@ def linked(rows: DataFrame, texts: DataFrame, sets: Callable, percent: int, work
         return pa.table({"a": node[order][label[leaf]], "b": node[order][leaf]})
 
     star = rows.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = workspace.save(verify(star), "links-1")
+    first = workspace.save(verify(star) if known is None else verify(star).union(known), "links-1")
     parts = components(first, workspace, "cc1")
     whole = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select("bucket", "node", "leader", "members", "part")
     mixed = whole.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")

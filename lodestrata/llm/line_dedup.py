@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from .graph import distinct, linked, shared_buckets
 from .shared import _IS_SEP, Workspace, buffers, mix, prefix, slices, span
 
-SHINGLE = 8
+#: Bytes of a shingle of lines under LONG bytes, and of lines of BOTH bytes or more; lines between are compared by either.
+#: One changed byte inside a line costs as many shingles as a shingle has bytes, which a line of 29 or of 79 bytes can bear.
+SHORT_SHINGLE, SHINGLE = 3, 8
+BOTH, LONG = 96, 128
 PERCENT = 80
 #: Shorter lines go where they equal an earlier line, but are not compared further. Blank lines stay.
 MIN_BYTES = 32
-#: A pair at Jaccard 0.8 shares one of 11 bands of 3 coordinates with probability 1 - (1 - 0.8^3)^11 > 0.9996.
+#: A pair at Jaccard 0.8 shares one of 11 bands of 3 coordinates with probability 1 - (1 - 0.8^3)^11 > 0.9996. Sets of
+#: short shingles are less far apart: 26 bands of 6, with probability 1 - (1 - 0.8^6)^26 > 0.9996.
 BANDS, ROWS = 11, 3
+SHORT_BANDS, SHORT_ROWS = 26, 6
 _BLOCK = 1 << 16
-_MULTIPLY = (np.random.default_rng(91).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
-_ADD = np.random.default_rng(92).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_MULTIPLY = (np.random.default_rng(91).integers(0, 1 << 31, SHORT_BANDS * SHORT_ROWS, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
+_ADD = np.random.default_rng(92).integers(0, 1 << 32, SHORT_BANDS * SHORT_ROWS, dtype=np.uint32)
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -38,39 +43,53 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return rows, np.arange(len(starts)) - first[rows], starts, stops
 
 
-def line_sets(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all byte shingles of lines (each SHINGLE bytes long at least), and where each line's begin."""
-    n = stops - starts - SHINGLE + 1
+def line_sets(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray, sizes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all byte shingles of lines, of sizes bytes (one number or one a line, no more than the line has), and where each line's begin."""
+    n = stops - starts - sizes + 1
     at = np.concatenate([[0], np.cumsum(n)])
     places = np.repeat(starts - at[:-1], n) + np.arange(at[-1])
-    return mix(span(sums, places, places + SHINGLE)), at
+    return mix(span(sums, places, places + (sizes if np.isscalar(sizes) else np.repeat(sizes, n)))), at
 
 
-def line_bands(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+def line_bands(hashes: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Bucket numbers of each line, one per band."""
     small = (hashes >> np.uint64(32)).astype(np.uint32)
-    sig = np.empty((len(at) - 1, BANDS * ROWS), np.uint32)
+    sig = np.empty((len(at) - 1, bands * rows), np.uint32)
     k = 0
     while k < len(at) - 1:
         j = max(k + 1, int(np.searchsorted(at, at[k] + _BLOCK, "right")) - 1)
         own, starts = small[at[k] : at[j]], at[k:j] - at[k]
-        for c in range(BANDS * ROWS):
+        for c in range(bands * rows):
             sig[k:j, c] = np.minimum.reduceat(own * _MULTIPLY[c] + _ADD[c], starts)
         k = j
-    out = np.empty((len(at) - 1, BANDS), np.uint64)
-    for b in range(BANDS):
-        h = np.full(len(at) - 1, b + 1, np.uint64)
-        for r in range(ROWS):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * ROWS + r].astype(np.uint64))
+    out = np.empty((len(at) - 1, bands), np.uint64)
+    for b in range(bands):
+        h = np.full(len(at) - 1, 256 * rows + b + 1, np.uint64)
+        for r in range(rows):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * rows + r].astype(np.uint64))
         out[:, b] = h
     return out.view(np.int64)
 
 
+def band_lists(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray, short: np.ndarray, long: np.ndarray) -> pa.Array:
+    """Lists of buckets of lines: by short shingles, by long ones, or null."""
+    ends = np.cumsum(np.concatenate([[0], short * SHORT_BANDS + long * BANDS]))
+    flat = np.zeros(ends[-1], np.int64)
+    for own, size, bands, rows in ((short, SHORT_SHINGLE, SHORT_BANDS, SHORT_ROWS), (long, SHINGLE, BANDS, ROWS)):
+        at = np.flatnonzero(own)
+        for p in range(0, len(at), 4096):
+            k = at[p : p + 4096]
+            flat[ends[k][:, None] + np.arange(bands)] = line_bands(*line_sets(sums, starts[k], stops[k], size), bands, rows)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+    return pa.compute.if_else(pa.array(short | long), lists, pa.scalar(None, lists.type))
+
+
 def sketch(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, line_no, node (a 64-bit fingerprint of the line) and the buckets of each line that is not blank; shorter than min_bytes: null.
+    """doc_id, line_no, node (a fingerprint of the line, even) and the buckets of each line that is not blank.
 
-    A line seen before in the same batch has null buckets, since one of a kind is enough. Lines differ in fingerprint
-    with probability 2^-64 a pair; what is joined is verified on the lines themselves.
+    Lines of min_bytes or more have buckets: short ones of short shingles, others of long ones; those of BOTH to LONG
+    bytes have `buckets` of short shingles and `twin` of long ones, which belong to the node + 1. A line seen before in the same batch has null buckets, since one of a kind is enough. Lines differ in fingerprint
+    with probability 2^-63 a pair; what is joined is verified on the lines themselves.
     """
 
     def run(batches):
@@ -86,49 +105,47 @@ def sketch(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
                 rows, number, starts, stops = rows[own], number[own], starts[own], stops[own]
                 if not len(rows):
                     continue
-                sums = prefix(d)
-                nodes = mix(span(sums, starts, stops) + (stops - starts).astype(np.uint64)).view(np.int64)
-                fresh = stops - starts >= max(min_bytes, SHINGLE)
+                sums, size = prefix(d), stops - starts
+                nodes = mix(span(sums, starts, stops) + size.astype(np.uint64)).view(np.int64) & -2
+                fresh = size >= max(min_bytes, SHORT_SHINGLE)
                 for k in np.flatnonzero(fresh).tolist():
                     if (x := int(nodes[k])) in seen:
                         fresh[k] = False
                     else:
                         seen.add(x)
-                at = np.flatnonzero(fresh)
-                places = np.zeros((len(at), BANDS), np.int64)
-                for p in range(0, len(at), 4096):
-                    own = at[p : p + 4096]
-                    places[p : p + 4096] = line_bands(*line_sets(sums, starts[own], stops[own]))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fresh)]) * BANDS, pa.int32()), pa.array(places.ravel()))
-                lists = pa.compute.if_else(pa.array(fresh), lists, pa.scalar(None, lists.type))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][rows], pa.int64()), pa.array(number, pa.int64()), pa.array(nodes), lists], names=["doc_id", "line_no", "node", "buckets"])
+                short, none = fresh & (size < LONG), np.zeros(len(size), bool)
+                lists = (band_lists(sums, starts, stops, short, fresh & ~short), band_lists(sums, starts, stops, none, short & (size >= BOTH)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][rows], pa.int64()), pa.array(number, pa.int64()), pa.array(nodes), *lists], names=["doc_id", "line_no", "node", "buckets", "twin"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no long, node long, buckets array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no long, node long, buckets array<long>, twin array<long>")
 
 
 def line_texts(column):
-    """Sets of shingles of a column of lines."""
+    """Sets of shingles of a column of lines; those that fetch() marks with a line feed are of long shingles."""
     data, offsets = buffers(column)
     for i, j in slices(offsets):
         sums = prefix(data[offsets[i] : offsets[j]])
         begin, end = offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]
-        hashes, at = line_sets(sums, begin, end)
+        twin = data[offsets[i:j]] == 10
+        begin = begin + twin
+        hashes, at = line_sets(sums, begin, end, np.where(twin | (end - begin >= LONG), SHINGLE, SHORT_SHINGLE))
         for r in range(j - i):
             yield distinct(hashes[at[r] : at[r + 1]])
 
 
 def fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, t: the lines that nodes (node, doc_id, line_no) name."""
+    """node, t: the lines that nodes (node, doc_id, line_no) name; those of odd nodes begin with a line feed."""
     places = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node")).alias("want"))  # lines of one document
     lines = docs.join(places.hint("merge"), "doc_id").withColumn("lines", F.split("text", "\n"))
-    return lines.select(F.explode(F.transform("want", lambda w: F.struct(w["node"].alias("node"), F.get("lines", w["line_no"].cast("int")).alias("t")))).alias("e")).select("e.node", "e.t").where("t IS NOT NULL").dropDuplicates(["node"])
+    return lines.select(F.explode(F.transform("want", lambda w: F.struct(w["node"].alias("node"), F.concat(F.when(w["node"] % 2 == 0, "").otherwise("\n"), F.get("lines", w["line_no"].cast("int"))).alias("t")))).alias("e")).select("e.node", "e.t").where("t IS NOT NULL").dropDuplicates(["node"])
 
 
 def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with text without its repeated lines, and with n_lines, n_removed_lines (long) and removed_lines (numbers from 0).
 
-    Lines are what \\n separates. Those that are not blank and equal, or have min_bytes UTF-8 bytes or more and sets of 8-byte
-    shingles with a Jaccard similarity of percent / 100 or more, are linked; of each component of linked lines the
+    Lines are what \\n separates. Those that are not blank and equal are linked, and those of min_bytes UTF-8 bytes or
+    more whose sets of shingles have a Jaccard similarity of percent / 100 or more: sets of 3-byte shingles if both lines
+    have under 128 bytes, of 8-byte shingles if both have 96 or more. Of each component of linked lines the
     first by (doc_id, line number) stays and all others go, within and across documents. Equal lines are one node, so
     a line that a third of all documents hold is one row of the graph. Null and empty texts have no line to remove;
     null texts stay null. Rows with null doc_id take no part and stay as they are. Rows that share a doc_id count as
@@ -140,10 +157,13 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, m
     found = workspace.save(sketched.select("doc_id", "line_no", "node"), "lines")
     place = F.struct("doc_id", "line_no")
     nodes = workspace.save(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("node", "first.doc_id", "first.line_no", "n"), "line-nodes")
-    rows = shared_buckets(sketched.select("node", "buckets"), workspace)
+    rows = shared_buckets(sketched.select("node", "buckets").union(sketched.select(F.col("node") + 1, "twin")), workspace)
     workspace.drop("sketch")
-    lines = fetch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), nodes.select("node", "doc_id", "line_no").join(rows.select("node").distinct(), "node"))
-    parts = linked(rows, workspace.save(lines, "line-texts"), line_texts, percent, workspace)
+    even = F.col("node").bitwiseAND(F.lit(-2).cast("long"))
+    named = rows.select("node").distinct().select(F.col("node").alias("name"), even.alias("node"))
+    lines = fetch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), nodes.join(named, "node").select(F.col("name").alias("node"), "doc_id", "line_no"))
+    twins = named.where("name <> node").select(F.col("node").alias("a"), F.col("name").alias("b"))
+    parts = linked(rows, workspace.save(lines, "line-texts"), line_texts, percent, workspace, known=twins)
     where = workspace.save(parts.join(nodes, "node"), "line-parts")
     heads = where.groupBy("component").agg(F.min(place).alias("head"))
     alone = nodes.where("n > 1").join(parts.select("node"), "node", "left_anti").select("node", F.struct("doc_id", "line_no").alias("head"))

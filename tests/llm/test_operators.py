@@ -130,6 +130,24 @@ def test_op8_short_lines_by_equality(spark):
     assert removed(spark, texts, "t8s") == {(1, 2), (1, 3), (2, 0), (2, 4)}
 
 
+def test_op8_one_changed_character(spark):
+    """Lines of 32 to 200 bytes with changed characters, against brute force; of 32 bytes or more one change inside links."""
+    rng, texts = random.Random(12), ["Thwhesnd esator whshing and hewh.", "Thwhesnd, esator whshing and hewh."]
+    for size in [32, 33, 40, 60, 78, 79, 95, 96, 127, 128, 131, 200] * 2:
+        x = words(rng, 80)[:size]
+        texts += [x, x[: size // 2] + "7" + x[size // 2 + 1 :], x[: size // 3] + "8, " + x[size // 3 :], x[: size // 3] + "99" + x[size // 3 + 2 : -9] + "wwwwwwwww"]
+    lines, parent = [x.encode() for x in texts], list(range(len(texts)))
+    near = lambda x, y, k: 10 * len((a := {x[i : i + k] for i in range(len(x) - k + 1)}) & (b := {y[i : i + k] for i in range(len(y) - k + 1)})) >= 8 * len(a | b)
+    for b, y in enumerate(lines):
+        for a, x in enumerate(lines[:b]):
+            if max(len(x), len(y)) < 128 and near(x, y, 3) or min(len(x), len(y)) >= 96 and near(x, y, 8):
+                p, q = sorted((find(parent, a), find(parent, b)))
+                parent[q] = p
+    got = removed(spark, texts, "t8c")
+    assert got == {(k, 0) for k in range(len(texts)) if find(parent, k) != k}
+    assert (1, 0) in got and all((k, 0) in got for k in range(3, len(texts), 4))
+
+
 @pytest.mark.parametrize("hot_bytes", [repeated_passages.HOT_BYTES, 200, 0])
 def test_op7_passages(spark, docs, rows, empty, hot_bytes):
     got = repeated_passages.remove(docs, repeated_passages.repeated(docs, Workspace(spark, "t7"), hot_bytes=hot_bytes)).collect()

@@ -6,35 +6,33 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import MASK, Workspace, buffers, slices
 
 
-def _forest(batches):
-    """A spanning forest of the edges of a partition, by union-find on what has been read so far."""
-    parent: dict[int, int] = {}
+#: Edges of a partition that are reduced at a time.
+FOREST = 1 << 20
+
 
-    def root(x):
-        top = x
-        while (up := parent.get(top, top)) != top:
-            top = up
-        while x != top:
-            parent[x], x = top, parent.get(x, x)
-        return top
+def _forest(batches):
+    """A spanning forest of the edges of a partition, as stars; of more than FOREST edges, one forest for each part."""
+    a = b = np.zeros(0, np.int64)
 
-    def table(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+    def table():
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    done = [(x, root(x)) for x in list(parent)]
-    for k in range(0, len(done), 100_000):
-        yield table([p for p in done[k : k + 100_000] if p[0] != p[1]])
+        a, b = (np.concatenate([x, batch.column(c).to_numpy()]) for c, x in (("a", a), ("b", b)))
+        if len(a) >= FOREST:
+            a, b = stars(a, b)
+            if 2 * len(a) > FOREST:
+                yield table()
+                a = b = a[:0]
+    a, b = stars(a, b)
+    yield table()
 
 
 def components(links: DataFrame, workspace: Workspace, name: str = "cc", rounds: int = 40) -> DataFrame:
@@ -67,113 +65,155 @@ def components(links: DataFrame, workspace: Workspace, name: str = "cc", rounds:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
-#: Entries of buckets that one task sorts, members of a bucket compared pair by pair, and members of a block.
+#: Entries of buckets that one task sorts, members of a bucket compared pair by pair, members and bytes of a block.
 ENTRIES = 1 << 19
 FEW = 12
-BLOCK = 256
+BLOCK = 512
+BLOCK_BYTES = 1 << 20
 #: Columns of one step of a block's product.
-COLUMNS = 1 << 14
+COLUMNS = 1 << 12
+
 
+def listed(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and their nodes, of rows with a node and a list of its buckets (null: none)."""
+    column = batch.column("buckets").drop_null()
+    node = batch.column("node").filter(batch.column("buckets").is_valid()).to_numpy()
+    return column.flatten().to_numpy(), np.repeat(node, np.diff(column.offsets.to_numpy()))
 
-def shared_buckets(found: DataFrame, workspace: Workspace) -> DataFrame:
-    """bucket, node, leader, members of every bucket with two nodes or more; found has node and buckets (null: none).
 
-    Entries travel packed, 12 bytes each, to the task of the bucket's leading bits, which sorts them.
+def shared_buckets(found: DataFrame, entries: int, workspace: Workspace, flat: Callable = listed) -> DataFrame:
+    """bucket, node, leader of every bucket with two nodes or more; flat makes buckets and nodes of a batch of found,
+    and entries says how many there are.
+
+    Of the nodes that share a bucket within a batch only the smallest travels on, as the batch's leader, packed with 12
+    bytes to the task of the bucket's leading bits; the others are rows with this leader at once. So a bucket that a
+    third of all nodes share sends one entry from each batch. Among leaders of one bucket the smallest leads.
     """
-    entries = found.agg(F.sum(F.size("buckets").cast("long")).alias("n")).first()["n"] or 0
     bits = max(6, int(np.ceil(np.log2(max(1, entries / ENTRIES)))))
 
     def packed(batches):
-        for batch in batches:
-            column = batch.column("buckets").drop_null()
-            if not len(column):
+        task = TaskContext.get().partitionId() << 24
+        for number, batch in enumerate(batches):
+            bucket, node = flat(batch)
+            if not len(bucket):
                 continue
-            node = batch.column("node").filter(batch.column("buckets").is_valid()).to_numpy()
-            node = np.repeat(node, np.diff(column.offsets.to_numpy()))
-            bucket = column.flatten().to_numpy()
-            lead = (bucket.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(lead, kind="stable")
             # 32 bits beyond the leading ones tell a task's buckets apart but for one in some thousand, which verification sorts out
-            lead, bucket, node = lead[order], ((bucket.view(np.uint64) >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], node[order]
-            cuts = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
+            bucket = bucket.view(np.uint64) >> np.uint64(32 - bits)
+            order = np.argsort(bucket)
+            bucket, node = bucket[order], node[order]
+            head = np.flatnonzero(starts(bucket))
+            size = np.diff(np.append(head, len(bucket)))
+            low, many = node[head], np.zeros(len(head), bool)
+            several = np.flatnonzero(np.repeat(size > 1, size))
+            if len(several):
+                b, n = bucket[several], node[several]
+                order = np.lexsort((n, b))
+                b, n = b[order], n[order]
+                new = starts(b)
+                lead = n[np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))]
+                low[size > 1] = n[new]
+                own = ~new & (n != lead) & np.concatenate([[True], (b[1:] != b[:-1]) | (n[1:] != n[:-1])])
+                many[np.searchsorted(bucket[head], b[own])] = True
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - (task + number)]), *(pa.array([x[own].astype(np.int64).tobytes()], pa.binary()) for x in (b, n, lead))], names=["lead", "keys", "nodes", "more"])
+            bucket = bucket[head]
+            lead = (bucket >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(starts(lead))
             ends = np.append(cuts[1:], len(lead))
-            yield pa.RecordBatch.from_arrays([pa.array(lead[cuts]), *(pa.array([x[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()) for x in (bucket, node))], names=["lead", "keys", "nodes"])
+            yield pa.RecordBatch.from_arrays([pa.array(lead[cuts]), *(pa.array([y(x[i:j]).tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()) for x, y in ((bucket.astype(np.uint32), np.asarray), (low, np.asarray), (many, np.packbits)))], names=["lead", "keys", "nodes", "more"])
 
     def gathered(table: pa.Table) -> pa.Table:
-        bucket, node = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("keys", np.uint32), ("nodes", np.int64)))
-        bucket = (table.column("lead")[0].as_py() << 32) | bucket.astype(np.int64)
+        key = table.column("lead")[0].as_py()
+        bucket, node, more = ([np.frombuffer(x.as_py(), kind) for x in table.column(c)] for c, kind in zip(("keys", "nodes", "more"), (np.int64,) * 3 if key < 0 else (np.uint32, np.int64, np.uint8), strict=True))
+        if key < 0:
+            return pa.table({"bucket": np.concatenate(bucket), "node": np.concatenate(node), "leader": np.concatenate(more)})
+        more = np.concatenate([np.unpackbits(x, count=len(n)) for x, n in zip(more, node, strict=True)])
+        bucket, node = np.concatenate(bucket), np.concatenate(node)
+        order = np.argsort(bucket)
+        bucket, more = bucket[order], more[order]
+        size = np.diff(np.append(np.flatnonzero(starts(bucket)), len(bucket)))
+        some = np.flatnonzero(np.repeat(size > 1, size) | (more > 0))
+        bucket, node, more = bucket[some], node[order[some]], more[some]
         order = np.lexsort((node, bucket))
-        bucket, node = bucket[order], node[order]
-        new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])])
-        bucket, node = bucket[new], node[new]
-        head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        bucket, node, more = bucket[order], node[order], more[order]
+        head = np.flatnonzero(starts(bucket))
         size = np.diff(np.append(head, len(bucket)))
-        keep = np.repeat(size > 1, size)
-        return pa.table({"bucket": bucket[keep], "node": node[keep], "leader": np.repeat(node[head], size)[keep], "members": np.repeat(size, size)[keep]})
+        new = starts(bucket)
+        new[1:] |= node[1:] != node[:-1]
+        keep = new & np.repeat((node[head] != node[head + size - 1]) | (np.maximum.reduceat(more, head) > 0), size) if len(head) else new
+        return pa.table({"bucket": (key << 32) | bucket[keep].astype(np.int64), "node": node[keep], "leader": np.repeat(node[head], size)[keep]})
 
-    sent = found.where("buckets IS NOT NULL").select("node", "buckets").mapInArrow(packed, "lead long, keys binary, nodes binary")
-    rows = sent.repartition(min(1 << bits, 20_000), "lead").groupBy("lead").applyInArrow(gathered, "bucket long, node long, leader long, members long")
+    sent = found.mapInArrow(packed, "lead long, keys binary, nodes binary, more binary")
+    rows = sent.repartition(min(1 << bits, 20_000), "lead").groupBy("lead").applyInArrow(gathered, "bucket long, node long, leader long")
     return workspace.save(rows, "buckets")
 
 
-def linked(rows: DataFrame, texts: DataFrame, sets: Callable, percent: int, workspace: Workspace, sizes: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+def linked(rows: DataFrame, texts: DataFrame, flat: Callable, percent: int, workspace: Workspace, sizes: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """node, component for the nodes that links join: pairs of one bucket with 100 * intersection >= percent * union.
 
-    rows: what shared_buckets() gives; texts: node, t of the nodes in it; sets: makes a sorted array of distinct
-    numbers of each text of an Arrow column; sizes: node, n, the sizes of the sets, to spare pairs that differ too much;
-    known: a, b, links that need no comparison.
-    Nodes are representatives of exact copies. In a bucket every node is first compared with the smallest, its leader,
-    so that a group of n near copies costs n comparisons and not n^2. Buckets whose nodes are then still in several
-    components are compared in full: small ones as pairs, larger ones in blocks of BLOCK by BLOCK members, each block a
-    product of 0/1 matrices of which a spanning forest of the links leaves the task. So every pair that shares a bucket is either compared
-    or already joined, and no link between components is lost.
+    rows: what shared_buckets() gives; texts: node, t of the nodes in it; flat: hashes of the shingles of each text of an
+    Arrow column, one text after another, and where each text's begin; sizes: node, n, the sizes of the sets, to spare
+    pairs that differ too much; known: a, b, links that need no comparison.
+    Nodes are representatives of exact copies. In a bucket every node is first compared with its leader and leaders with
+    the smallest, so that a group of n near copies costs n comparisons and not n^2. Buckets whose nodes are then still in
+    several components are compared in full, those with the same nodes once: small ones as pairs, larger ones in blocks
+    of at most about BLOCK members and BLOCK_BYTES bytes against one another, each a product of 0/1 matrices of which a
+    spanning forest of the links leaves the task. So every pair that shares a bucket is either compared or already
+    joined, and no link between components is lost.
     """
 
     def compare(batches):
         for batch in batches:
-            keep = pa.array([jaccard_at_least(x, y, percent) for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
+            one, other = batch.column("ta"), batch.column("tb")
+            keep = [similar(*flat(one.slice(i, j - i)), *flat(other.slice(i, j - i)), percent) for i, j in slices(buffers(one)[1] + buffers(other)[1])]
+            if keep:
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(np.concatenate(keep)))
 
     def verify(pairs: DataFrame) -> DataFrame:
         if sizes is not None:
             pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
             pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
-        return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+        return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
     def block(table: pa.Table) -> pa.Table:
         node, part, side = (table.column(c).to_numpy() for c in ("node", "part", "side"))
-        own = list(sets(table.column("t")))
-        p, q = block_links(own, part, np.flatnonzero((side & 1) > 0), np.flatnonzero((side & 2) > 0), percent)
-        # of the links a spanning forest leaves the task
-        order = np.argsort(node, kind="stable")
-        place = np.empty(len(node), np.int64)
-        place[order] = np.arange(len(node))
-        label = np.arange(len(node))
-        settle(label, place[p], place[q])
-        leaf = np.flatnonzero(label != np.arange(len(node)))
-        return pa.table({"a": node[order][label[leaf]], "b": node[order][leaf]})
+        a = b = np.zeros(0, np.int64)
+        if len(part) and part.min() < part.max():
+            p, q = block_links(*flat(table.column("t").combine_chunks()), part, np.flatnonzero((side & 1) > 0), np.flatnonzero((side & 2) > 0), percent)
+            a, b = stars(node[p], node[q])
+        return pa.table({"a": a, "b": b})
 
+    texts = workspace.save(texts.withColumn("w", F.octet_length("t")), "texts")
     star = rows.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = workspace.save(verify(star) if known is None else verify(star).union(known), "links-1")
     parts = components(first, workspace, "cc1")
-    whole = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select("bucket", "node", "leader", "members", "part")
-    mixed = whole.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
-    rest = workspace.save(whole.where("members > 2").join(mixed, "bucket", "left_semi").where("node <> leader"), "open")
+    whole = rows.select("bucket", "node").join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    mixed = whole.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q AND n > 2").select("bucket")
+    every = workspace.save(whole.join(mixed, "bucket", "left_semi").distinct().join(texts.select("node", "w"), "node"), "open")
+    sums = every.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("w").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("alike"))
+    rest = every.join(sums.dropDuplicates(["members", "alike"]).where("members > 2"), "bucket")
     small = rest.where(f"members <= {FEW}")
     left, right = small.select("bucket", F.col("node").alias("a"), F.col("part").alias("pa")), small.select("bucket", F.col("node").alias("b"), F.col("part").alias("pb"))
     cross = left.join(right, "bucket").where("a < b AND pa <> pb").select("a", "b").distinct()
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
     dealt = rest.where(f"members > {FEW}").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # side 1: rows of a block's matrix, 2: its columns, 3: both, in a block of members against themselves
     side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part", side.alias("side"))
-    joined = dealt.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(block, "a long, b long")
+    joined = dealt.join(texts.select("node", "t"), "node").groupBy("bucket", "i", "j").applyInArrow(block, "a long, b long")
     second = workspace.save(verify(cross).union(joined), "links-2")
     if second.isEmpty():
         return parts
-    return components(first.union(second), workspace, "cc2")
+    return components(parts.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(second), workspace, "cc2")
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """True where a number differs from the one before."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -182,13 +222,40 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x if len(x) < 2 else x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
-def jaccard_at_least(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union of two sorted arrays of distinct numbers, not both empty."""
-    if 100 * min(len(one), len(other)) < percent * max(len(one), len(other)) or not len(one):
-        return False
-    both = np.sort(np.concatenate([one, other]))
-    n = int((both[1:] == both[:-1]).sum())
-    return 100 * n >= percent * (len(one) + len(other) - n)
+def keyed(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and hashes of the distinct hashes of each row, in order of both. Row numbers take the bits they need of 64."""
+    n = len(at) - 1
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    key = distinct((np.repeat(np.arange(n, dtype=np.uint64), np.diff(at)) << (np.uint64(64) - bits)) | (hashes >> bits))
+    row = key >> (np.uint64(64) - bits)
+    return row.astype(np.int64), key
+
+
+def similar(one: np.ndarray, one_at: np.ndarray, other: np.ndarray, other_at: np.ndarray, percent: int) -> np.ndarray:
+    """Of two rows of sets each: 100 * intersection >= percent * union, neither being empty. Sets are told apart on the
+    bits that row numbers leave, but one."""
+    n = len(one_at) - 1
+    bits = max(1, (n - 1).bit_length())
+    up, down = np.uint64(64 - bits), np.uint64(bits)
+    keys = []
+    for side, (hashes, at) in enumerate(((one, one_at), (other, other_at))):
+        key = (hashes >> down) & np.uint64(MASK - 1)
+        key |= np.repeat((np.arange(n, dtype=np.uint64) << up) | np.uint64(side), np.diff(at))
+        keys.append(key)
+    key = distinct(np.concatenate(keys))
+    row = (key >> up).astype(np.int64)
+    both = np.bincount(row[1:][(key[1:] ^ key[:-1]) == 1], minlength=n)
+    every = np.bincount(row, minlength=n) - both
+    return (both > 0) & (100 * both >= percent * every)
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of edges a, b as edges from the smallest node of each to its others."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(names))
+    settle(label, place[: len(a)], place[len(a) :])
+    leaf = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[leaf]], names[leaf]
 
 
 def settle(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
@@ -207,18 +274,18 @@ def settle(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
             label[:] = up
 
 
-def block_links(sets: list[np.ndarray], part: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def block_links(hashes: np.ndarray, at: np.ndarray, part: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows and columns in different parts whose sets are similar enough, each pair once in a square block."""
-    size = np.array([len(s) for s in sets])
-    of = np.repeat(np.arange(len(sets)), size)
-    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    ok = count[number] > 1
-    name = np.cumsum(count > 1) - 1
-    of, number = of[ok], name[number[ok]]
-    order = np.argsort(number, kind="stable")
-    of, number = of[order], number[order]
+    n = len(at) - 1
+    of, key = keyed(hashes, at)
+    size = np.bincount(of, minlength=n)
+    value = key << np.uint64(max(1, (n - 1).bit_length()))
+    order = np.argsort(value)
+    of, new = of[order], starts(value[order])
+    count = np.diff(np.append(np.flatnonzero(new), len(new)))
+    of, number = of[np.repeat(count > 1, count)], np.repeat(np.arange((count > 1).sum()), count[count > 1])
     both = np.zeros((len(rows), len(columns)), np.float32)
-    row, column = np.full(len(sets), -1), np.full(len(sets), -1)
+    row, column = np.full(n, -1), np.full(n, -1)
     row[rows], column[columns] = np.arange(len(rows)), np.arange(len(columns))
     for at in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
         lo, hi = np.searchsorted(number, [at, at + COLUMNS])

@@ -7,21 +7,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import distinct, linked, shared_buckets
-from .shared import _IS_SEP, Workspace, buffers, mix, prefix, slices, span
+from .graph import linked, shared_buckets
+from .shared import _IS_SEP, CHUNK, Workspace, buffers, mix, prefix, slices, span
 
-#: Bytes of a shingle of lines under LONG bytes, and of lines of BOTH bytes or more; lines between are compared by either.
-#: One changed byte inside a line costs as many shingles as a shingle has bytes, which a line of 29 or of 79 bytes can bear.
+#: Characters of a shingle of lines under LONG characters, and of lines of BOTH or more; lines between are compared by either.
+#: One changed character inside a line costs as many shingles as a shingle has, which a line of 29 or of 79 can bear.
 SHORT_SHINGLE, SHINGLE = 3, 8
 BOTH, LONG = 96, 128
 PERCENT = 80
-#: Shorter lines go where they equal an earlier line, but are not compared further. Blank lines stay.
-MIN_BYTES = 32
-#: A pair at Jaccard 0.8 shares one of 11 bands of 3 coordinates with probability 1 - (1 - 0.8^3)^11 > 0.9996. Sets of
-#: short shingles are less far apart: 26 bands of 6, with probability 1 - (1 - 0.8^6)^26 > 0.9996.
-BANDS, ROWS = 11, 3
-SHORT_BANDS, SHORT_ROWS = 26, 6
+#: A shorter line is one shingle as a whole: it goes where it equals an earlier line. No other line of its length with a
+#: changed character could reach 0.8. Blank lines stay.
+WHOLE = 11
+#: A pair at Jaccard 0.8 shares one of 15 bands of 4 coordinates with probability 1 - (1 - 0.8^4)^15 > 0.9996. Sets of
+#: short shingles have 0.13 in common by chance alone: 43 bands of 8, with probability 1 - (1 - 0.8^8)^43 > 0.9996 at 0.8
+#: and 0.000004 at 0.13.
+BANDS, ROWS = 15, 4
+SHORT_BANDS, SHORT_ROWS = 43, 8
+#: Shingles of a matrix, and of lines that wait to be signed.
 _BLOCK = 1 << 16
+HELD = 1 << 21
+#: Masks of the first bytes of a number of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MULTIPLY = (np.random.default_rng(91).integers(0, 1 << 31, SHORT_BANDS * SHORT_ROWS, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
 _ADD = np.random.default_rng(92).integers(0, 1 << 32, SHORT_BANDS * SHORT_ROWS, dtype=np.uint32)
 
@@ -43,94 +49,184 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return rows, np.arange(len(starts)) - first[rows], starts, stops
 
 
-def line_sets(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray, sizes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all byte shingles of lines, of sizes bytes (one number or one a line, no more than the line has), and where each line's begin."""
-    n = stops - starts - sizes + 1
-    at = np.concatenate([[0], np.cumsum(n)])
-    places = np.repeat(starts - at[:-1], n) + np.arange(at[-1])
-    return mix(span(sums, places, places + (sizes if np.isscalar(sizes) else np.repeat(sizes, n)))), at
+class Characters:
+    """Texts that lie one after another, by characters: hashes of any run of them."""
 
+    def __init__(self, data: np.ndarray):
+        self.data, self._sums = data, None
+        inner = (data & 0xC0) == 0x80
+        self.at = np.append(np.flatnonzero(~inner), len(data)) if inner.any() else None
+        # the 8 bytes from each place on, as a number
+        self.eight = np.ndarray((len(data),), "<u8", data.tobytes() + bytes(8), 0, (1,))
 
-def line_bands(hashes: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Bucket numbers of each line, one per band."""
-    small = (hashes >> np.uint64(32)).astype(np.uint32)
-    sig = np.empty((len(at) - 1, bands * rows), np.uint32)
-    k = 0
-    while k < len(at) - 1:
-        j = max(k + 1, int(np.searchsorted(at, at[k] + _BLOCK, "right")) - 1)
-        own, starts = small[at[k] : at[j]], at[k:j] - at[k]
+    @property
+    def sums(self) -> np.ndarray:
+        if self._sums is None:
+            self._sums = prefix(self.data)
+        return self._sums
+
+    def number(self, places: np.ndarray) -> np.ndarray:
+        """How many characters begin before each byte."""
+        return places if self.at is None else np.searchsorted(self.at, places)
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of ranges of bytes. Up to 8 bytes have different ones."""
+        size = end - begin
+        wide = np.flatnonzero(size > 8)
+        size[wide] = 8
+        out = self.eight[begin]
+        out &= _FIRST[size]
+        out[wide] = span(self.sums, begin[wide], end[wide])
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xC4CEB9FE1A85EC53)
+        return out
+
+    def shingles(self, first: np.ndarray, last: np.ndarray, sizes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all shingles of lines of characters first to last - 1, of `sizes` characters (one number or one a
+        line, no more than the line has), and where each line's begin."""
+        n = last - first - sizes + 1
+        at = np.concatenate([[0], np.cumsum(n)])
+        begin = np.repeat(first - at[:-1], n) + np.arange(at[-1])
+        places = np.arange(len(self.data) + 1) if self.at is None else self.at
+        if np.isscalar(sizes) and 2 * at[-1] > len(places):
+            return self.hashes(places[:-sizes], places[sizes:])[begin], at
+        return self.hashes(places[begin], places[begin + (sizes if np.isscalar(sizes) else np.repeat(sizes, n))]), at
+
+
+def line_bands(small: np.ndarray, n: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Bucket numbers of each line, one per band, of the 32-bit hashes of the shingles of lines that have n each. Lines of
+    like sizes are columns of one matrix, short ones filled up with their last shingle, so that a coordinate of all of
+    them is a minimum over rows."""
+    at = np.cumsum(n) - n
+    sig = np.empty((bands * rows, len(n)), np.uint32)
+    order = np.argsort(n, kind="stable")
+    high, k = n[order], 0
+    while k < len(n):
+        # the longest line of a matrix has at most a half more shingles than the shortest
+        j = int(np.searchsorted(high, high[k] * 3 // 2, "right"))
+        j = max(k + 1, min(j, int(np.searchsorted(high[k:j] * np.arange(1, j - k + 1), _BLOCK, "right")) + k))
+        own, most = order[k:j], int(high[j - 1])
+        if most <= j - k:
+            matrix, axis = small[at[own][None, :] + np.minimum(np.arange(most)[:, None], n[own] - 1)], 0
+        else:
+            matrix, axis = small[at[own][:, None] + np.minimum(np.arange(most), n[own][:, None] - 1)], 1
+        turned = np.empty_like(matrix)
         for c in range(bands * rows):
-            sig[k:j, c] = np.minimum.reduceat(own * _MULTIPLY[c] + _ADD[c], starts)
+            np.multiply(matrix, _MULTIPLY[c], out=turned)
+            np.add(turned, _ADD[c], out=turned)
+            sig[c, own] = turned.min(axis)
         k = j
-    out = np.empty((len(at) - 1, bands), np.uint64)
+    out = np.empty((len(n), bands), np.uint64)
     for b in range(bands):
-        h = np.full(len(at) - 1, 256 * rows + b + 1, np.uint64)
+        h = np.full(len(n), 256 * rows + b + 1, np.uint64)
         for r in range(rows):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * rows + r].astype(np.uint64))
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[b * rows + r].astype(np.uint64))
         out[:, b] = h
     return out.view(np.int64)
 
 
-def band_lists(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray, short: np.ndarray, long: np.ndarray) -> pa.Array:
-    """Lists of buckets of lines: by short shingles, by long ones, or null."""
-    ends = np.cumsum(np.concatenate([[0], short * SHORT_BANDS + long * BANDS]))
-    flat = np.zeros(ends[-1], np.int64)
-    for own, size, bands, rows in ((short, SHORT_SHINGLE, SHORT_BANDS, SHORT_ROWS), (long, SHINGLE, BANDS, ROWS)):
-        at = np.flatnonzero(own)
-        for p in range(0, len(at), 4096):
-            k = at[p : p + 4096]
-            flat[ends[k][:, None] + np.arange(bands)] = line_bands(*line_sets(sums, starts[k], stops[k], size), bands, rows)
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-    return pa.compute.if_else(pa.array(short | long), lists, pa.scalar(None, lists.type))
+class _Held:
+    """Lines of one kind whose shingles wait to be signed together."""
+
+    def __init__(self, bands: int, rows: int):
+        self.bands, self.rows, self.nodes, self.small, self.counts, self.size = bands, rows, [], [], [], 0
+
+    def add(self, nodes: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> None:
+        self.nodes.append(nodes)
+        self.small.append((hashes >> np.uint64(32)).astype(np.uint32))
+        self.counts.append(np.diff(at))
+        self.size += len(hashes)
 
+    def signed(self):
+        """nodes and buckets of what was added, at most 1024 lines at a time."""
+        if self.nodes:
+            nodes, buckets = np.concatenate(self.nodes), line_bands(np.concatenate(self.small), np.concatenate(self.counts), self.bands, self.rows)
+            self.nodes, self.small, self.counts, self.size = [], [], [], 0
+            for k in range(0, len(nodes), 1024):
+                yield nodes[k : k + 1024], buckets[k : k + 1024]
 
-def sketch(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, line_no, node (a fingerprint of the line, even) and the buckets of each line that is not blank.
 
-    Lines of min_bytes or more have buckets: short ones of short shingles, others of long ones; those of BOTH to LONG
-    bytes have `buckets` of short shingles and `twin` of long ones, which belong to the node + 1. A line seen before in the same batch has null buckets, since one of a kind is enough. Lines differ in fingerprint
-    with probability 2^-63 a pair; what is joined is verified on the lines themselves.
+def runs(starts: np.ndarray, stops: np.ndarray):
+    """Ranges of lines that lie within CHUNK bytes; a longer line is a range of its own."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + CHUNK, "right")))
+        yield i, j
+        i = j
+
+
+def sketch(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds: doc_id, line_no, node (a fingerprint of the line, even) of each line that is not blank; and
+    nodes and buckets of some lines, which flat() reads.
+
+    Lines of WHOLE characters or more have buckets: short ones of short shingles, others of long ones; those of BOTH to
+    LONG characters also have buckets of long shingles, which belong to the node + 1. A line seen before in the same
+    batch has no buckets, since one of a kind is enough. Lines differ in fingerprint with probability 2^-63 a
+    pair; what is joined is verified on the lines themselves.
     """
+    names = ["doc_id", "line_no", "node", "nodes", "buckets"]
 
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            rows, number, starts, stops = line_spans(data, offsets)
+            some = stops > starts
+            rows, number, starts, stops = rows[some], number[some], starts[some], stops[some]
             seen: set[int] = set()
-            for i, j in slices(offsets):
-                d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                rows, number, starts, stops = line_spans(d, o)
-                dark = np.concatenate([[0], np.cumsum(~_IS_SEP[d])])
-                own = dark[stops] > dark[starts]
-                rows, number, starts, stops = rows[own], number[own], starts[own], stops[own]
-                if not len(rows):
+            short, long = _Held(SHORT_BANDS, SHORT_ROWS), _Held(BANDS, ROWS)
+            for i, j in runs(starts, stops):
+                base = int(starts[i])
+                d, s, e = data[base : stops[j - 1]], starts[i:j] - base, stops[i:j] - base
+                own = np.flatnonzero(np.logical_or.reduceat(~_IS_SEP[d], s))
+                if not len(own):
                     continue
-                sums, size = prefix(d), stops - starts
-                nodes = mix(span(sums, starts, stops) + size.astype(np.uint64)).view(np.int64) & -2
-                fresh = size >= max(min_bytes, SHORT_SHINGLE)
+                s, e, size = s[own], e[own], (e - s)[own]
+                text = Characters(d)
+                nodes = mix(span(text.sums, s, e) + size.astype(np.uint64)).view(np.int64) & -2
+                first, last = text.number(s), text.number(e)
+                chars = last - first
+                fresh = chars >= WHOLE
                 for k in np.flatnonzero(fresh).tolist():
                     if (x := int(nodes[k])) in seen:
                         fresh[k] = False
                     else:
                         seen.add(x)
-                short, none = fresh & (size < LONG), np.zeros(len(size), bool)
-                lists = (band_lists(sums, starts, stops, short, fresh & ~short), band_lists(sums, starts, stops, none, short & (size >= BOTH)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][rows], pa.int64()), pa.array(number, pa.int64()), pa.array(nodes), *lists], names=["doc_id", "line_no", "node", "buckets", "twin"])
+                none = pa.nulls(len(own), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[i:j][own]], pa.int64()), pa.array(number[i:j][own], pa.int64()), pa.array(nodes), none, none], names=names)
+                for kind, held, shingle in ((fresh & (chars < LONG), short, SHORT_SHINGLE), (fresh & (chars >= BOTH), long, SHINGLE)):
+                    k = np.flatnonzero(kind)
+                    if len(k):
+                        held.add(nodes[k] + (chars[k] < LONG) * (held is long), *text.shingles(first[k], last[k], shingle))
+                    if held.size >= HELD:
+                        yield from entries(held)
+            yield from entries(short)
+            yield from entries(long)
+
+    def entries(held: _Held):
+        null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64())]
+        for some, buckets in held.signed():
+            yield pa.RecordBatch.from_arrays([*null, *(pa.array([x.tobytes()], pa.binary()) for x in (some, buckets))], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no long, node long, nodes binary, buckets binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no long, node long, buckets array<long>, twin array<long>")
+def flat(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and their nodes, of the second kind of rows that sketch() makes."""
+    nodes, buckets = ([np.frombuffer(x.as_py(), np.int64) for x in batch.column(c)] for c in ("nodes", "buckets"))
+    z = np.zeros(0, np.int64)
+    return np.concatenate([z, *buckets]), np.concatenate([z, *(np.repeat(n, len(b) // len(n)) for n, b in zip(nodes, buckets, strict=True))])
 
 
-def line_texts(column):
-    """Sets of shingles of a column of lines; those that fetch() marks with a line feed are of long shingles."""
+def line_shingles(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of a column of lines, one line after another, and where each line's begin; lines that
+    dedup_lines() marks with a line feed are cut into long ones."""
     data, offsets = buffers(column)
-    for i, j in slices(offsets):
-        sums = prefix(data[offsets[i] : offsets[j]])
-        begin, end = offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]
-        twin = data[offsets[i:j]] == 10
-        begin = begin + twin
-        hashes, at = line_sets(sums, begin, end, np.where(twin | (end - begin >= LONG), SHINGLE, SHORT_SHINGLE))
-        for r in range(j - i):
-            yield distinct(hashes[at[r] : at[r + 1]])
+    text = Characters(data)
+    twin = data[offsets[:-1]] == 10
+    first, last = text.number(offsets[:-1] + twin), text.number(offsets[1:])
+    return text.shingles(first, last, np.where(twin | (last - first >= LONG), SHINGLE, SHORT_SHINGLE))
 
 
 def fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -140,12 +236,12 @@ def fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return lines.select(F.explode(F.transform("want", lambda w: F.struct(w["node"].alias("node"), F.concat(F.when(w["node"] % 2 == 0, "").otherwise("\n"), F.get("lines", w["line_no"].cast("int"))).alias("t")))).alias("e")).select("e.node", "e.t").where("t IS NOT NULL").dropDuplicates(["node"])
 
 
-def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT) -> DataFrame:
     """docs with text without its repeated lines, and with n_lines, n_removed_lines (long) and removed_lines (numbers from 0).
 
-    Lines are what \\n separates. Those that are not blank and equal are linked, and those of min_bytes UTF-8 bytes or
-    more whose sets of shingles have a Jaccard similarity of percent / 100 or more: sets of 3-byte shingles if both lines
-    have under 128 bytes, of 8-byte shingles if both have 96 or more. Of each component of linked lines the
+    Lines are what \\n separates. Those that are not blank and equal are linked, and those of 11 characters or more
+    whose sets of shingles have a Jaccard similarity of percent / 100 or more: sets of 3-character shingles if both lines
+    have under 128 characters, of 8-character shingles if both have 96 or more. Of each component of linked lines the
     first by (doc_id, line number) stays and all others go, within and across documents. Equal lines are one node, so
     a line that a third of all documents hold is one row of the graph. Null and empty texts have no line to remove;
     null texts stay null. Rows with null doc_id take no part and stay as they are. Rows that share a doc_id count as
@@ -153,17 +249,18 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT, m
     results are replaced.
     """
     docs = docs.drop("n_lines", "n_removed_lines", "removed_lines")
-    sketched = workspace.save(sketch(docs, min_bytes), "sketch")
-    found = workspace.save(sketched.select("doc_id", "line_no", "node"), "lines")
+    sketched = workspace.save(sketch(docs), "sketch")
+    found = workspace.save(sketched.where("node IS NOT NULL").select("doc_id", "line_no", "node"), "lines")
     place = F.struct("doc_id", "line_no")
     nodes = workspace.save(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("node", "first.doc_id", "first.line_no", "n"), "line-nodes")
-    rows = shared_buckets(sketched.select("node", "buckets").union(sketched.select(F.col("node") + 1, "twin")), workspace)
+    entries = sketched.agg(F.sum((F.octet_length("buckets") / 8).cast("long")).alias("n")).first()["n"] or 0
+    rows = shared_buckets(sketched.where("buckets IS NOT NULL").select("nodes", "buckets"), entries, workspace, flat)
     workspace.drop("sketch")
     even = F.col("node").bitwiseAND(F.lit(-2).cast("long"))
     named = rows.select("node").distinct().select(F.col("node").alias("name"), even.alias("node"))
     lines = fetch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), nodes.join(named, "node").select(F.col("name").alias("node"), "doc_id", "line_no"))
     twins = named.where("name <> node").select(F.col("node").alias("a"), F.col("name").alias("b"))
-    parts = linked(rows, workspace.save(lines, "line-texts"), line_texts, percent, workspace, known=twins)
+    parts = linked(rows, lines, line_shingles, percent, workspace, known=twins)
     where = workspace.save(parts.join(nodes, "node"), "line-parts")
     heads = where.groupBy("component").agg(F.min(place).alias("head"))
     alone = nodes.where("n > 1").join(parts.select("node"), "node", "left_anti").select("node", F.struct("doc_id", "line_no").alias("head"))

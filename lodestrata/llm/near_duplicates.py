@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import linked, shared_buckets
-from .shared import Workspace, buffers, mix, shingles, slices, word_hashes
+from .shared import Workspace, buffers, mix, shingles, slices, windows, word_hashes
 
 SHINGLE = 5
 PERCENT = 85
@@ -71,6 +71,20 @@ def document_sets(column, size: int):
             yield shingles(words[at[r] : at[r + 1]], size)
 
 
+def document_shingles(column, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of a column of texts, folded as above, one text after another, and where each text's begin."""
+    data, offsets = buffers(column)
+    words, at = word_hashes(data, offsets, fold=True)
+    n = np.diff(at)
+    count = np.where(n >= size, n - size + 1, n > 0)
+    out = np.concatenate([[0], np.cumsum(count)])
+    place = np.repeat(at[:-1] - out[:-1], count) + np.arange(out[-1])
+    hashes = np.resize(windows(words, size) + np.uint64(size), len(words))[place] if len(words) >= size else np.zeros(out[-1], np.uint64)
+    for r in np.flatnonzero((n > 0) & (n < size)).tolist():
+        hashes[out[r]] = shingles(words[at[r] : at[r + 1]], size)[0]
+    return hashes, out
+
+
 def sketch(docs: DataFrame, size: int = SHINGLE, rows_per_band: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, set_key (a 128-bit fingerprint of the set; null if empty) and the set's buckets, as a map."""
 
@@ -110,9 +124,10 @@ def near_duplicates(docs: DataFrame, workspace: Workspace, percent: int = PERCEN
     node = workspace.save(some.select("doc_id", "n_shingles", "set_key").join(groups, "set_key"), "nodes").drop("set_key")
     heads = node.where("doc_id = node").select("node", "n_shingles").distinct()
     own = some.join(heads, (some["doc_id"] == heads["node"]) & (some["n_shingles"] == heads["n_shingles"]), "left_semi").select(F.col("doc_id").alias("node"), "buckets")
-    rows = shared_buckets(own, workspace)
+    entries = found.agg(F.sum(F.size("buckets").cast("long")).alias("n")).first()["n"] or 0
+    rows = shared_buckets(own, entries, workspace)
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").alias("t")).join(rows.select("node").distinct().hint("merge"), "node")
-    parts = linked(rows, workspace.save(texts, "texts"), lambda column: document_sets(column, size), percent, workspace, heads.select("node", F.col("n_shingles").alias("n")))
+    parts = linked(rows, texts, lambda column: document_shingles(column, size), percent, workspace, heads.select("node", F.col("n_shingles").alias("n")))
     copies = node.where("doc_id <> node").select(F.col("doc_id").alias("leaf"), "node").distinct()
     member = copies.join(parts, "node", "left").select("leaf", F.coalesce("component", "node").alias("component")).union(parts.join(copies, parts["node"] == copies["leaf"], "left_anti"))
     member = member.groupBy("leaf").agg(F.min("component").alias("component"))

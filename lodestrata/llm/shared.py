@@ -23,7 +23,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 #: Bytes of text hashed at a time; bounds the memory of a Python worker whatever the length of a text.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +46,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}).parquet(path)
         self.free()
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestrata.llm import embeddings, induced_sorting, language, line_dedup, mixing, near_duplicates, packing, quality_model, quality_rules, registry, repeated_passages, resharding
+from lodestrata.llm import embeddings, graph, induced_sorting, language, line_dedup, mixing, near_duplicates, packing, quality_model, quality_rules, registry, repeated_passages, resharding
 from lodestrata.llm.shared import Workspace, shingles, word_hashes
 from tests.oracle import compare
 
@@ -103,14 +103,8 @@ def test_large_group_of_near_copies(spark):
 def test_op8_lines(spark, docs, rows, empty):
     got = line_dedup.dedup_lines(docs, Workspace(spark, "t8")).collect()
     assert line_dedup.dedup_lines(empty, Workspace(spark, "t8")).count() == 0
-    lines = sorted({(i, k, x.encode()) for i, t, *_ in rows if i is not None for k, x in enumerate((t or "").split("\n")) if len(x.encode()) >= 32})
-    sets = [frozenset(x[k : k + 8] for k in range(len(x) - 7)) for _, _, x in lines]
-    parent = list(range(len(lines)))
-    for a in range(len(lines)):
-        for b in range(a + 1, len(lines)):
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((find(parent, a), find(parent, b)))
-                parent[y] = x
+    lines = sorted({(i, k, x) for i, t, *_ in rows if i is not None for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\v\f\r")})
+    parent = linked_lines([x for _, _, x in lines])
     gone = {(lines[k][0], lines[k][1]) for k in range(len(lines)) if find(parent, k) != k}
     assert len(got) == len(rows)
     for r in got:
@@ -119,6 +113,22 @@ def test_op8_lines(spark, docs, rows, empty):
         assert r["text"] == keep and r["score"] == "s" and r["node"] == 1
 
 
+def line_set(x, k):
+    return {x[i : i + k] for i in range(len(x) - k + 1)}
+
+
+def linked_lines(lines):
+    """Brute force: equal lines, and those of 11 characters or more by shingles of 3 characters (both under 128) or 8 (both from 96)."""
+    parent, sets = list(range(len(lines))), [(line_set(x, 3), line_set(x, 8)) for x in lines]
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    for b, y in enumerate(lines):
+        for a, x in enumerate(lines[:b]):
+            if x == y or min(len(x), len(y)) >= 11 and (max(len(x), len(y)) < 128 and near(sets[a][0], sets[b][0]) or min(len(x), len(y)) >= 96 and near(sets[a][1], sets[b][1])):
+                p, q = sorted((find(parent, a), find(parent, b)))
+                parent[q] = p
+    return parent
+
+
 def removed(spark, texts, name):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     return {(r["doc_id"], k) for r in line_dedup.dedup_lines(docs, Workspace(spark, name)).collect() for k in r["removed_lines"]}
@@ -131,21 +141,38 @@ def test_op8_short_lines_by_equality(spark):
 
 
 def test_op8_one_changed_character(spark):
-    """Lines of 32 to 200 bytes with changed characters, against brute force; of 32 bytes or more one change inside links."""
+    """Lines of 12 to 200 characters in one-byte and three-byte letters with changed characters, against brute force; of
+    32 characters or more one change inside links."""
     rng, texts = random.Random(12), ["Thwhesnd esator whshing and hewh.", "Thwhesnd, esator whshing and hewh."]
-    for size in [32, 33, 40, 60, 78, 79, 95, 96, 127, 128, 131, 200] * 2:
-        x = words(rng, 80)[:size]
-        texts += [x, x[: size // 2] + "7" + x[size // 2 + 1 :], x[: size // 3] + "8, " + x[size // 3 :], x[: size // 3] + "99" + x[size // 3 + 2 : -9] + "wwwwwwwww"]
-    lines, parent = [x.encode() for x in texts], list(range(len(texts)))
-    near = lambda x, y, k: 10 * len((a := {x[i : i + k] for i in range(len(x) - k + 1)}) & (b := {y[i : i + k] for i in range(len(y) - k + 1)})) >= 8 * len(a | b)
-    for b, y in enumerate(lines):
-        for a, x in enumerate(lines[:b]):
-            if max(len(x), len(y)) < 128 and near(x, y, 3) or min(len(x), len(y)) >= 96 and near(x, y, 8):
-                p, q = sorted((find(parent, a), find(parent, b)))
-                parent[q] = p
+    for size in [32, 33, 40, 60, 78, 79, 95, 96, 127, 128, 131, 200] * 2 + [12, 20]:
+        for letters in (None, str.maketrans("abcdefgh", "日本語文字列検索")):
+            x = words(rng, 80)[:size]
+            own = [x, x[: size // 2] + "7" + x[size // 2 + 1 :], x[: size // 3] + "8, " + x[size // 3 :], x[: size // 3] + "99" + x[size // 3 + 2 : -9] + "wwwwwwwww", x[:-1] + "!"]
+            texts += own if letters is None else [y.translate(letters) for y in own]
+    parent = linked_lines(texts)
     got = removed(spark, texts, "t8c")
     assert got == {(k, 0) for k in range(len(texts)) if find(parent, k) != k}
-    assert (1, 0) in got and all((k, 0) in got for k in range(3, len(texts), 4))
+    assert (1, 0) in got and all((k, 0) in got for k in range(3, 242, 5))
+
+
+def test_buckets_of_many_batches(spark):
+    """Every bucket that two nodes share comes with all its nodes and leaders that join them, however rows are dealt."""
+    rng = random.Random(3)
+    rows = [(n, [rng.randrange(60) << 50 for _ in range(3)] + [rng.randrange(-(1 << 63), 1 << 63), 7 << 40]) for n in range(-400, 400)] + [(5, [7 << 40]), (9, None)]
+    df = spark.createDataFrame(rows, "node long, buckets array<long>").repartition(7)
+    got = {}
+    for r in graph.shared_buckets(df, 4000, Workspace(spark, "tb")).collect():
+        got.setdefault(r["bucket"], set()).add((r["node"], r["leader"]))
+    want = {}
+    for n, b in rows:
+        for x in b or []:
+            want.setdefault(x, set()).add(n)
+    assert sorted(sorted({n for n, _ in v}) for v in got.values()) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    for pairs in got.values():
+        lead = dict(sorted(pairs, reverse=True))
+        up = {n: min(m for k, m in pairs if k == n) for n in lead}
+        root = lambda n: n if up[n] == n else root(up[n])
+        assert {root(n) for n in up} == {min(up)}
 
 
 @pytest.mark.parametrize("hot_bytes", [repeated_passages.HOT_BYTES, 200, 0])

@@ -81,19 +81,19 @@ def listed(batch) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.repeat(node, np.diff(column.offsets.to_numpy()))
 
 
-def shared_buckets(found: DataFrame, entries: int, workspace: Workspace, flat: Callable = listed) -> DataFrame:
-    """bucket, node, leader of every bucket with two nodes or more; flat makes buckets and nodes of a batch of found,
-    and entries says how many there are.
+def shared_buckets(found: DataFrame, entries: int, workspace: Workspace, flat: Callable = listed, step: int = 1 << 14) -> DataFrame:
+    """bucket, node, leader of every bucket with two nodes or more; flat makes buckets and nodes of `step` rows of
+    found, and entries says how many there are.
 
-    Of the nodes that share a bucket within a batch only the smallest travels on, as the batch's leader, packed with 12
+    Of the nodes that share a bucket within these rows only the smallest travels on, as their leader, packed with 12
     bytes to the task of the bucket's leading bits; the others are rows with this leader at once. So a bucket that a
-    third of all nodes share sends one entry from each batch. Among leaders of one bucket the smallest leads.
+    third of all nodes share sends one entry from each step. Among leaders of one bucket the smallest leads.
     """
     bits = max(6, int(np.ceil(np.log2(max(1, entries / ENTRIES)))))
 
     def packed(batches):
-        task = TaskContext.get().partitionId() << 24
-        for number, batch in enumerate(batches):
+        task = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(batch.slice(i, step) for batch in batches for i in range(0, batch.num_rows, step)):
             bucket, node = flat(batch)
             if not len(bucket):
                 continue

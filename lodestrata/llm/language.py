@@ -19,10 +19,10 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCUMENTS, share: int = SHAR
     """Raw-content dictionaries by language.
 
     Learns from a bounded sample: the `per_language` documents of each language with the smallest hash of their
-    text, `share` bytes of each, `size` bytes in all. Rows with null lang or null or empty text teach nothing. The
+    text, `share` bytes of each from a place that its hash picks anywhere in the whole text, `size` bytes in all. Rows with null lang or null or empty text teach nothing. The
     languages of the table are a small closed set; what reaches the driver is bounded by their number times `size`.
     """
-    one = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.xxhash64("text").alias("h"), F.lower(F.substring("text", 1, share)).alias("t"))
+    one = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.xxhash64("text").alias("h"), F.lower(F.substring("text", F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - share + 1, F.lit(1))).cast("int") + 1, F.lit(share))).alias("t"))
     salted = one.withColumn("salt", F.pmod("h", F.lit(64)))
     first = salted.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "t"))).where(F.col("n") <= max(1, per_language // 16))
     one = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= per_language).select("lang", "h", "t")

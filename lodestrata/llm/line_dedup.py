@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import linked, shared_buckets
-from .shared import _IS_SEP, CHUNK, Workspace, buffers, mix, prefix, slices, span
+from .shared import _IS_SEP, CHUNK, Workspace, buffers, mix, prefix, shelter, sheltered, span
 
 #: Characters of a shingle of lines under LONG characters, and of lines of BOTH or more; lines between are compared by either.
 #: One changed character inside a line costs as many shingles as a shingle has, which a line of 29 or of 79 can bear.
@@ -29,7 +29,6 @@ HELD = 1 << 21
 #: Masks of the first bytes of a number of eight.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MULTIPLY = (np.random.default_rng(91).integers(0, 1 << 31, SHORT_BANDS * SHORT_ROWS, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
-_ADD = np.random.default_rng(92).integers(0, 1 << 32, SHORT_BANDS * SHORT_ROWS, dtype=np.uint32)
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +94,8 @@ class Characters:
 
 
 def line_bands(small: np.ndarray, n: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Bucket numbers of each line, one per band, of the 32-bit hashes of the shingles of lines that have n each. Lines of
+    """Bucket numbers of each line, one per band, of the 32-bit hashes of the shingles of lines that have n each.
+    Odd factors permute 32-bit numbers; those of shingles are spread already. Lines of
     like sizes are columns of one matrix, short ones filled up with their last shingle, so that a coordinate of all of
     them is a minimum over rows."""
     at = np.cumsum(n) - n
@@ -114,7 +114,6 @@ def line_bands(small: np.ndarray, n: np.ndarray, bands: int = BANDS, rows: int =
         turned = np.empty_like(matrix)
         for c in range(bands * rows):
             np.multiply(matrix, _MULTIPLY[c], out=turned)
-            np.add(turned, _ADD[c], out=turned)
             sig[c, own] = turned.min(axis)
         k = j
     out = np.empty((len(n), bands), np.uint64)
@@ -248,13 +247,14 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT) -
     one document: what goes from one goes by number from all. Other columns are kept; those with the names of the
     results are replaced.
     """
-    docs = docs.drop("n_lines", "n_removed_lines", "removed_lines")
+    columns, used = docs.columns, ("doc_id", "text")
+    docs = shelter(docs, *used)
     sketched = workspace.save(sketch(docs), "sketch")
     found = workspace.save(sketched.where("node IS NOT NULL").select("doc_id", "line_no", "node"), "lines")
     place = F.struct("doc_id", "line_no")
     nodes = workspace.save(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("node", "first.doc_id", "first.line_no", "n"), "line-nodes")
     entries = sketched.agg(F.sum((F.octet_length("buckets") / 8).cast("long")).alias("n")).first()["n"] or 0
-    rows = shared_buckets(sketched.where("buckets IS NOT NULL").select("nodes", "buckets"), entries, workspace, flat)
+    rows = shared_buckets(sketched.where("buckets IS NOT NULL").select("nodes", "buckets"), entries, workspace, flat, 24)
     workspace.drop("sketch")
     even = F.col("node").bitwiseAND(F.lit(-2).cast("long"))
     named = rows.select("node").distinct().select(F.col("node").alias("name"), even.alias("node"))
@@ -270,7 +270,8 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT) -
     out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left").drop("gone_id").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
     pieces = F.split("text", "\n")
     text = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("removed_lines", i.cast("long"))), "\n"))
-    return out.withColumn("n_lines", F.coalesce(F.size(pieces), F.lit(0)).cast("long")).withColumn("n_removed_lines", F.size("removed_lines").cast("long")).withColumn("text", text)
+    out = out.withColumn("n_lines", F.coalesce(F.size(pieces), F.lit(0)).cast("long")).withColumn("n_removed_lines", F.size("removed_lines").cast("long")).withColumn("text", text)
+    return sheltered(out, columns, used, "n_lines", "n_removed_lines", "removed_lines")
 
 
 def op8_fuzzy_line_dedup(spark, sf_dir: str) -> DataFrame:

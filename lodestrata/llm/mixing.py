@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import shelter, sheltered
+
 SEED = 17
 #: A mean above this is drawn as a sum of independent Poisson numbers with at most this mean each.
 LARGEST_MEAN = 8.0
@@ -53,22 +55,23 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs:
     The number inverts the Poisson distribution with its source's mean at a hash of the document's key (doc_id as
     text; null ids: the text), so a second run, a retried task or another engine draws the same. Rows with the same
     key are drawn alike. Documents drawn 0 times are not in the result; that is what the target weights ask for.
-    If order, rows are dealt by ranges of shuffle_key, a hash of key and copy_no, and sorted by it: reading the files
-    in order is a global shuffle. The means are a table with one row per source, joined on it; Spark broadcasts it
+    If order, rows are dealt by a hash of shuffle_key, itself a hash of key and copy_no, and sorted by it: reading the
+    files in order is a global shuffle, for which nothing has to be sampled. The means are a table with one row per source, joined on it; Spark broadcasts it
     only if it is small, and splits a hot source otherwise. Columns of docs with the names of the results are replaced.
     """
-    docs = docs.drop("mix_mean", "n_copies", "copy_no", "shuffle_key")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")) if key is None else key
+    columns, used = docs.columns, ("doc_id", "text", "source")
+    docs = shelter(docs, *used)
+    if key is None:
+        key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
     means = rates(docs, weights, epochs, alpha=alpha)
-    kept = docs.columns
     joined = docs.withColumn("mixed_key", key).join(means, docs["source"].eqNullSafe(means["mixed_source"]), "left").withColumn("mix_mean", F.coalesce("mean", F.lit(0.0)))
     parts = F.greatest(F.ceil(F.col("mix_mean") / LARGEST_MEAN).cast("int"), F.lit(1))
     drawn = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, i: acc + poisson(uniform(F.col("mixed_key"), i), F.col("mix_mean") / parts))
     out = joined.withColumn("n_copies", drawn).where(F.col("n_copies") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(SEED)), F.lit("order"), F.col("copy_no").cast("string"), F.col("mixed_key")).cast("binary"))).select(*(F.col(f"`{c}`") for c in kept), "mix_mean", "n_copies", "copy_no", "shuffle_key")
+    out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(SEED)), F.lit("order"), F.col("copy_no").cast("string"), F.col("mixed_key")).cast("binary")))
     if order:
-        out = out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
-    return out
+        out = out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return sheltered(out, columns, used, "mix_mean", "n_copies", "copy_no", "shuffle_key")
 
 
 def op4_poisson_mixing(spark, sf_dir: str) -> DataFrame:

@@ -147,21 +147,23 @@ def take(x, rows: np.ndarray):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_DOCUMENTS, sample_bytes: int = SAMPLE_BYTES) -> FactorisationMachine:
-    """Learns from a bounded sample of labelled rows: the `sample` documents with the smallest hash of their id, and of
-    these no more than `sample_bytes` of text. Without labelled rows every score is 0.5."""
+    """Learns from a bounded sample of labelled rows: of the `sample` documents with the smallest hash of their id, those
+    that fit into `sample_bytes` of text one after another in order of the hash; one that does not fit is left out and
+    the next ones are tried. Without labelled rows every score is 0.5."""
     own = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     rows = docs.select("doc_id", "text").join(own, "doc_id").select(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id", "y", "text")
-    ids = rows.select("h", "doc_id").orderBy("h", "doc_id").limit(sample)
-    most = ids.agg(F.max("h")).first()[0]
-    if most is None:
+    some, size = [], 0
+    for h, doc_id, n in rows.select("h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h", "doc_id", "n").limit(sample).collect():
+        if size + n <= sample_bytes:
+            some.append((h, doc_id, n))
+            size += n
+    if not some:
         return FactorisationMachine()
-    texts, marks, size = [], [], 0
-    for r in rows.where(F.col("h") <= most).select("y", "text").toLocalIterator():
-        size += len(r["text"] or "")
-        if size > sample_bytes or len(texts) >= sample:
-            break
-        texts.append(r["text"])
-        marks.append(r["y"])
+    spark = docs.sparkSession
+    picked = spark.createDataFrame(some, "h long, doc_id long, n int").distinct()  # bounded by `sample`
+    taken = rows.join(F.broadcast(picked), (rows["h"] == picked["h"]) & (rows["doc_id"] == picked["doc_id"]) & (F.coalesce(F.octet_length("text"), F.lit(0)) == picked["n"]), "left_semi")
+    taken = sorted(((r["h"], r["text"] or "", r["y"]) for r in taken.collect()))[:sample]
+    texts, marks = [t for _, t, _ in taken], [y for _, _, y in taken]
     return FactorisationMachine().fit(features(pa.array(texts, pa.string())), np.array(marks, np.float64))
 
 

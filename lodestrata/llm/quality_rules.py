@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, Workspace
+from .shared import WORD, Workspace, shelter, sheltered
 
 WINDOW = 8
 SEPARATOR = r"[\x20\x09-\x0D]+"
@@ -26,12 +26,12 @@ class Rules:
     """Fixed base cutoffs, and how far beyond its group's median a document may lie. tails: signal, high, spread, least
     distance: the larger of `spread` times the distance from the median to the quantile `high`, and the least distance,
     which only matters where the two quantiles nearly meet. Repeats are rare in clean texts, so their quantile lies far
-    out; symbols and long words may mark a tenth of a group as junk, so theirs does not. Groups below `least` documents
-    use the thresholds over all documents."""
+    out; symbols and long words may mark a tenth of a group as junk, so theirs does not. A group's
+    limit is drawn towards that over all documents as if `prior` documents had it, so that small groups borrow."""
 
     min_words: int = 20
     repeat_percent: int = 30
-    least: int = 50
+    prior: int = 20
     tails: tuple[tuple[str, float, float, int], ...] = (("symbols", 0.75, 6.0, 10), ("dup_lines", 0.98, 2.0, 10), ("repeats", 0.98, 2.0, 10), ("long_words", 0.75, 8.0, 100))
 
 
@@ -62,12 +62,12 @@ def covered(words: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of each whole text; null: none."""
+    """docs, which has none of these columns, with n_words, word_chars, n_symbols, n_lines, n_dup_lines and
+    n_repeat_words of each whole text; null: none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.drop("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    out = out.withColumn("rule_words", F.array_remove(F.split(text, SEPARATOR), "")).withColumn("rule_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
+    out = docs.withColumn("rule_words", F.array_remove(F.split(text, SEPARATOR), "")).withColumn("rule_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
     return out.select(
-        *(F.col(f"`{c}`") for c in out.columns if c not in ("rule_words", "rule_lines")),
+        *docs.columns,
         F.size("rule_words").cast("long").alias("n_words"),
         F.length(F.array_join("rule_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -129,19 +129,21 @@ def judge(docs: DataFrame, rules: Rules = Rules(), workspace=None) -> DataFrame:
     workspace is given, what measure() gives is written to it first, so that texts are split once and not twice.
     Columns of docs with the names of the results are replaced, all others kept.
     """
-    measured = measure(docs.drop("base_failed", "failed_signals", "kept"))
+    columns, used = docs.columns, ("text", "lang", "source")
+    measured = measure(shelter(docs, *used))
     measured = measured.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words")))
     if workspace is not None:
         measured = workspace.save(measured, "measured")
-    kept = measured.columns
     sketch = sketches(measured)
     own = thresholds(sketch, rules)
     every = thresholds(sketch.withColumn("all_groups", F.lit(1)), rules, ("all_groups",)).select(*(F.col(f"max_{k}").alias(f"all_{k}") for k in SIGNALS))
     joined = measured.join(own, F.col("lang").eqNullSafe(F.col("sketch_lang")) & F.col("source").eqNullSafe(F.col("sketch_source")), "left").join(F.broadcast(every), how="left")
-    most = lambda k: F.when(F.col("group_n") >= rules.least, F.col(f"max_{k}")).otherwise(F.col(f"all_{k}"))
+    # without any document that keeps to the base rules there are no limits
+    most = lambda k: F.coalesce(F.floor((F.col("group_n") * F.col(f"max_{k}") + rules.prior * F.col(f"all_{k}")) / (F.col("group_n") + rules.prior)), F.col(f"all_{k}"))
     failed = F.array_compact(F.array(*(F.when(signal(k) > most(k), F.lit(k)) for k in sorted(SIGNALS))))
     out = joined.withColumn("failed_signals", F.array_join(failed, ",")).withColumn("kept", ~F.col("base_failed") & (F.col("failed_signals") == ""))
-    return out.select(*(F.col(f"`{c}`") for c in kept), "failed_signals", "kept")
+    columns = [c for c in columns if c not in used or c in measured.columns]
+    return sheltered(out, columns, used, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "failed_signals", "kept")
 
 
 def op5_adaptive_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -154,3 +156,37 @@ def op5_adaptive_quality_rules(spark, sf_dir: str) -> DataFrame:
 class _Slim(Workspace):
     def save(self, df: DataFrame, name: str) -> DataFrame:
         return super().save(df.drop("text"), name)
+
+
+#: The same in DuckDB, for tables without repeated doc_ids.
+OP5_SQL = """
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, source, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+v AS (SELECT doc_id, lang, source, base_failed, unnest([{'s': 'symbols', 'a': n_symbols, 'b': word_chars}, {'s': 'dup_lines', 'a': n_dup_lines, 'b': n_lines},
+  {'s': 'repeats', 'a': n_repeat_words, 'b': n_words}, {'s': 'long_words', 'a': word_chars, 'b': n_words}], recursive := true) FROM b),
+x AS (SELECT *, CASE WHEN b > 0 THEN 1000 * a // b ELSE 0 END AS value FROM v),
+c AS (SELECT lang, source, s, value - value % (2 ** greatest(length(bin(value)) - 9, 0))::BIGINT AS cell FROM x WHERE NOT base_failed),
+own AS (SELECT lang, source, s, cell, count(*) AS n FROM c GROUP BY ALL),
+tails(s, high, spread, least) AS (VALUES ('symbols', 0.75, 6.0, 10), ('dup_lines', 0.98, 2.0, 10), ('repeats', 0.98, 2.0, 10), ('long_words', 0.75, 8.0, 100)),
+r AS (SELECT lang, source, s, cell, sum(n) OVER (PARTITION BY lang, source, s ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY lang, source, s) AS total FROM own),
+g AS (SELECT lang, source, s, max(total) AS n, min(cell) FILTER (upto >= 0.5 * total) AS mid, min(cell) FILTER (upto >= high * total) AS top, any_value(spread) AS spread, any_value(least) AS least
+  FROM r JOIN tails USING (s) GROUP BY lang, source, s),
+alls AS (SELECT s, cell, sum(n) AS n FROM own GROUP BY s, cell),
+ra AS (SELECT s, cell, sum(n) OVER (PARTITION BY s ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY s) AS total FROM alls),
+ga AS (SELECT s, min(cell) FILTER (upto >= 0.5 * total) AS mid, min(cell) FILTER (upto >= high * total) AS top, any_value(spread) AS spread, any_value(least) AS least FROM ra JOIN tails USING (s) GROUP BY s),
+la AS (SELECT s, mid + greatest(trunc(spread * (top - mid)), least) AS most FROM ga),
+lg AS (SELECT lang, source, s, n, mid + greatest(trunc(spread * (top - mid)), least) AS most FROM g),
+f AS (SELECT x.doc_id, string_agg(x.s, ',' ORDER BY x.s) AS failed FROM x JOIN la USING (s)
+  LEFT JOIN lg ON x.s = lg.s AND x.lang IS NOT DISTINCT FROM lg.lang AND x.source IS NOT DISTINCT FROM lg.source
+  WHERE x.value > coalesce(floor((lg.n * lg.most + 20 * la.most) / (lg.n + 20)), la.most) GROUP BY x.doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed, '') AS failed_signals, NOT base_failed AND failed IS NULL AS kept
+FROM b LEFT JOIN f USING (doc_id)
+"""

@@ -16,4 +16,4 @@ QUERIES = {f.__name__: f for f in (
     near_duplicates.op9_circulant_minhash,
     language.op10_compression_language_id,
 )}
-ORACLE_SQL = {"op4_poisson_mixing": mixing.OP4_SQL}
+ORACLE_SQL = {"op4_poisson_mixing": mixing.OP4_SQL, "op5_adaptive_quality_rules": quality_rules.OP5_SQL}

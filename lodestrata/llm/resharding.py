@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, shelter, sheltered
 
 #: Blocks of an old shard. Their sums are what the driver sees: old shards times BLOCKS numbers, whatever the rows.
 BLOCKS = 256
@@ -102,7 +102,7 @@ def sized(docs: DataFrame, old_shards: int, old: str | None = None, blocks: int
     old names the column with a row's present shard; null: rows lie in `old_shards` shards by a hash of doc_id (null
     ids: of the text). Blocks hold half-octaves of size in falling order, 64 at most, cut further by the hash.
     """
-    docs = docs.drop("size", "old_shard", "block", "place")
+    docs = docs.drop("size", "block", "place", *(["old_shard"] if old is None else []))
     spot = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     rows = docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).withColumn("place", spot)
     rows = rows.withColumn("old_shard", F.pmod("place", F.lit(old_shards)).cast("int") if old is None else F.col(old).cast("int"))
@@ -139,8 +139,13 @@ def place(rows: DataFrame, shards: int, workspace: Workspace, capacity: list[int
 
 
 def reshard(docs: DataFrame, old_shards: int, shards: int, workspace: Workspace, old: str | None = None, capacity: list[int] | None = None) -> DataFrame:
-    """docs with size, old_shard, shard and slot; what sized() and place() say holds."""
-    return place(sized(docs, old_shards, old), shards, workspace, capacity)
+    """docs with size, old_shard, shard and slot; what sized() and place() say holds. Columns of docs with the names of
+    the results are replaced, all others kept."""
+    columns, used = docs.columns, ("doc_id", "text")
+    if old is not None:
+        docs = docs.withColumns({"old_shard": F.col(old)})
+    own = sized(shelter(docs, *used, "old_shard"), old_shards, "old_shard" if old is not None else None)
+    return sheltered(place(own, shards, workspace, capacity), columns, used, "size", "old_shard", "shard", "slot")
 
 
 def rewrite(placed: DataFrame, path: str, first: bool = False) -> None:

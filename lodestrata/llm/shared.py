@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Separators of words: space, and tab to carriage return.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
@@ -27,11 +28,13 @@ CHUNK = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and Spark runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("lodestrata.shared.dir", None)
         if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             at = tempfile.mkdtemp(prefix="lodestrata-")
             spark.conf.set("lodestrata.shared.dir", at)
     return at
@@ -61,6 +64,19 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shelter(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with the columns named in `used` and one struct of all others, whose names then can't clash with those that
+    an operator needs on the way; sheltered() has them back."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*(c for c in docs.columns if c in used), *([F.struct(*rest).alias("sheltered")] if rest else []))
+
+
+def sheltered(out: DataFrame, columns: list[str], used: tuple[str, ...], *results: str) -> DataFrame:
+    """`columns` as they were before shelter(), but for those named in `results`, which follow."""
+    own = [F.col(c) if c in used else F.col("sheltered").getField(c).alias(c) for c in columns if c not in results]
+    return out.select(*own, *results)
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of a column, one after another, and where each starts and the last ends. Null: empty."""
     if isinstance(column, pa.ChunkedArray):

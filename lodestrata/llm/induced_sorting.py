@@ -58,7 +58,7 @@ class TupleQueue:
     def take(self, low: int, high: int):
         """Tuples of keys low to high - 1, whose regions are full, and their keys."""
         a, b = self.first[low], self.first[high]
-        keys = np.arange(low, high).repeat(self.first[low + 1 : high + 1] - self.first[low:high])
+        keys = np.arange(low, high, dtype=np.int32).repeat(self.first[low + 1 : high + 1] - self.first[low:high])
         return np.array(self.tuples[0, a:b]), np.array(self.tuples[1, a:b]), keys
 
     def since(self, key: int, done: int):
@@ -110,7 +110,8 @@ class Inducer:
         """Lets a run pass by; more says that others of the same first symbol follow."""
         at, longer, keys = self.before(run) if known is None else known
         if len(at):
-            order = keys.argsort(kind="stable")
+            # numpy sorts 16-bit numbers by counting
+            order = (keys.astype(np.int16) if len(self.past) < 1 << 15 else keys).argsort(kind="stable")
             at, longer, keys = at[order], longer[order], keys[order]
             new = heads(keys)
             first = new.nonzero()[0]
@@ -182,7 +183,7 @@ def induce(text: np.ndarray, same: np.ndarray, small: np.ndarray, seeds: np.ndar
         seed, more, its = seeded(low, high)
         if not len(seed) or not len(pos):
             return (seed, more, its) if len(seed) else (pos, lcp, key)
-        both = np.concatenate([key * 2, its.astype(np.int64) * 2 + 1])
+        both = np.concatenate([key * 2, its * 2 + 1])
         order = np.argsort(both, kind="stable")
         both = both[order]
         pos, lcp = np.concatenate([pos, seed])[order], np.concatenate([lcp, more])[order]
@@ -309,7 +310,7 @@ def suffix_order(text: np.ndarray):
     left[text == 0] = True
     seeds = np.flatnonzero(left).astype(np.int32)
     same = run_lengths(text)
-    by = seeds[np.lexsort((-same[seeds], text[seeds]))]
+    by = seeds[((text[seeds].astype(np.int64) << 32) - same[seeds]).argsort(kind="stable")]
     shared = np.append(0, np.where(text[by[1:]] == text[by[:-1]], same[by[1:]], 0)).astype(np.int32)
     order, lcp = induce(text, same, small, by, shared, True)
     at = np.flatnonzero(left[order])
@@ -353,11 +354,11 @@ def repeated_strings(strings: list[bytes], owners: np.ndarray, length: int) -> l
     text += 1
     text[starts + sizes] = 0
     order, shared = suffix_order(text)
-    owner = np.searchsorted(starts, order, "right") - 1
+    owner = np.repeat(owners, sizes + 1)[order]
     # suffixes too short share too little with either neighbour, so that each is a group by itself
     head = np.flatnonzero(np.append(True, shared[1:] < length))
-    least = np.minimum.reduceat(owners[owner], head)
-    gone = owners[owner] > np.repeat(least, np.diff(np.append(head, len(order))))
+    least = np.minimum.reduceat(owner, head)
+    gone = owner > np.repeat(least, np.diff(np.append(head, len(order))))
     at = np.sort(order[gone])
     if not len(at):
         return []

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced_sorting import repeated_strings
-from .shared import Workspace, buffers, mix, prefix, slices, span
+from .shared import Workspace, inverses, mix, prefix, slices, span
 
 LENGTH = 50
 GRAM = 26
 #: Windows hashed at a time (a place must fit the low 20 bits of a key), bytes of a block of documents and of a shard.
-WINDOWS = (1 << 20) - 256
+WINDOWS = 1 << 17
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 #: An anchor with more bytes of different places than this is not sorted in one shard; its strings are compared one by one.
@@ -42,9 +42,8 @@ def places(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
             d = data[at:to]
             n = len(d) - gram + 1
             sums = prefix(d)
-            i0 = np.arange(n)
-            h = mix(span(sums, i0, i0 + gram))
-            low = (h & ~_LOW) | i0.astype(np.uint64)
+            h = mix((sums[gram:] - sums[:n]) * inverses(n))
+            low = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
             step, rest = 1, width
             while step * 2 <= rest:
                 low = np.minimum(low[:-step], low[step:])
@@ -52,10 +51,12 @@ def places(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
             if rest > step:
                 low = np.minimum(low[: len(low) - (rest - step)], low[rest - step :])
             anchor = (low & _LOW).astype(np.int64)
-            start = np.arange(len(anchor))
-            doc = np.searchsorted(ends, at + start, "right")
-            inside = at + start + length <= ends[doc]
-            start, anchor, doc = start[inside], anchor[inside], doc[inside]
+            # of each string the document, and whether it ends in it
+            until = np.clip(ends[i:j] - at, 0, len(anchor))
+            count = np.diff(until, prepend=0)
+            doc = np.repeat(np.arange(i, j), count)
+            start = np.flatnonzero(np.arange(length, length + len(doc)) <= np.repeat(ends[i:j] - at, count))
+            anchor, doc = anchor[start], doc[start]
             if len(start):
                 new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
                 first = np.flatnonzero(new)

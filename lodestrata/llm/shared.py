@@ -137,6 +137,11 @@ def prefix(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def inverses(n: int) -> np.ndarray:
+    """What a difference of prefix sums is multiplied with to be a hash, by where it starts."""
+    return _powers.get(n)[1][:n]
+
+
 def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     _, down = _powers.get(len(sums))
     return (sums[ends] - sums[starts]) * down[starts]

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 # Slots that name a model, packages of the providers' kits, folders that are left out.
 CALL_SLOTS = ("model", "model_id")
 CONFIG_SLOTS = ("model", "model_id", "model_name")
-KITS = {"anthropic": "anthropic", "fireworks": "fireworks", "google": "google.genai", "openai": "openai", "together": "together"}
-SKIPPED = (".git", ".hg", ".svn", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "venv")
+KITS = {"anthropic": "anthropic", "openai": "openai"}
+SKIPPED = (".git", ".hg", ".svn", "node_modules", ".pnpm-store", ".venv", "venv", "env", "__pypackages__", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox", "dist", "build", "site-packages", "eggs", "target", "vendor", ".idea", ".vscode", ".cursor")
 MAX_BYTES = 1 << 20
 SCHEMA = "path string, kind string, line long, key string, value string, provider string, reason string, expression string"
 
@@ -24,8 +24,11 @@ def project(spark: SparkSession, root: str) -> DataFrame:
     """path and content of .py, .json and .toml files of at most MAX_BYTES without a zero byte in the first 8 KiB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     some = files.where((F.col("length") <= MAX_BYTES) & F.lower("path").rlike(r"\.(py|json|toml)$"))
+    # folders below the root count, not those that it lies in
+    top = root.rstrip("/") + "/"
+    below = F.concat(F.lit("/"), F.substring_index(F.col("path"), top, -1))
     for name in SKIPPED:
-        some = some.where(~F.col("path").contains(f"/{name}/"))
+        some = some.where(~below.contains(f"/{name}/"))
     return some.where(F.locate("00", F.hex(F.substring("content", 1, 8192))) % 2 == 0).select("path", F.col("content").cast("string").alias("content"))
 
 
@@ -55,12 +58,31 @@ def constants(tree: ast.Module) -> dict[str, str]:
     return out
 
 
+def _environment(node: ast.expr) -> bool:
+    """A call of getenv or getenvb, or environ subscripted or asked with get."""
+    named = lambda n: n.id if isinstance(n, ast.Name) else n.attr if isinstance(n, ast.Attribute) else None
+    if isinstance(node, ast.Subscript):
+        return named(node.value) == "environ"
+    if not isinstance(node, ast.Call):
+        return False
+    return named(node.func) in ("getenv", "getenvb") or isinstance(node.func, ast.Attribute) and node.func.attr == "get" and named(node.func.value) == "environ"
+
+
+# Why a slot's value is not known, by the kind of its expression.
+REASONS = {ast.Name: "name_not_bound", ast.Attribute: "unresolved_attribute", ast.Call: "dynamic_call", ast.Subscript: "dynamic_subscript", **dict.fromkeys((ast.JoinedStr, ast.BinOp, ast.BoolOp, ast.IfExp, ast.Await), "dynamic_expression")}
+
+
 def _unbound(node: ast.expr) -> str:
-    text = ast.unparse(node)
-    if "environ" in text or "getenv" in text:
-        return "environment"
-    kinds = ((ast.JoinedStr, "formatted_string"), (ast.Call, "call"), (ast.Attribute, "attribute"), (ast.Name, "variable"))
-    return next((name for kind, name in kinds if isinstance(node, kind)), "expression")
+    return "dynamic_expression" if _environment(node) else REASONS.get(type(node), "unresolved_expression")
+
+
+def _shown(node: ast.expr, most: int = 160) -> str:
+    """An expression on one line, cut where it is too long."""
+    try:
+        text = " ".join(ast.unparse(node).split())
+    except (ValueError, RecursionError):
+        text = type(node).__name__
+    return text if len(text) <= most else text[: most - 3] + "..."
 
 
 def python_references(source: str) -> list[tuple]:
@@ -75,7 +97,7 @@ def python_references(source: str) -> list[tuple]:
         elif isinstance(node, ast.Name) and node.id in known:
             rows.append(("constant", node.lineno, key, known[node.id], None, None))
         else:
-            rows.append(("unbound", node.lineno, key, None, _unbound(node), ast.unparse(node)[:160]))
+            rows.append(("unbound", node.lineno, key, None, _unbound(node), _shown(node)))
 
     for n in ast.walk(tree):
         if isinstance(n, ast.Call):

@@ -10,13 +10,13 @@ from .catalog import PROVIDERS, lifecycle_diff, pivot, semantic_key
 STAMP = r"^\d{4}-\d\d-\d\dT.*(Z|[+-]\d\d:\d\d)$"
 # What a failed predicate is called and how it reads; suffixes serve for all others.
 REASONS = {
-    "not_currently_documented": ("documentation", "excluded_documentation", "documentation disposition is not eligible for this query"),
+    "documentation_not_eligible": ("documentation", "excluded_documentation", "documentation disposition is not eligible for this query"),
     "provider_mismatch": ("provider", "excluded_provider", "provider does not match the requested provider filter"),
     "lifecycle_not_verified": ("lifecycle", "missing_verified_evidence", "lifecycle is not verified"),
     "lifecycle_mismatch": ("lifecycle", "excluded_lifecycle", "verified lifecycle does not match the requested lifecycle"),
-    "context_kind_mismatch": ("context_window", "incompatible_context_kind", "verified context kind does not match the requested kind"),
-    "context_below_minimum": ("context_window", "below_context_threshold", "verified context window is below the requested threshold"),
-    "context_missing_compatible": ("context_window", "missing_verified_evidence", "no verified compatible context limit"),
+    "context_window_kind_mismatch": ("context_window", "incompatible_context_kind", "verified context kind does not match the requested kind"),
+    "context_window_below_minimum": ("context_window", "below_context_threshold", "verified context window is below the requested threshold"),
+    "missing_compatible_context_limit": ("context_window", "missing_verified_evidence", "no verified compatible context limit"),
 }
 
 

@@ -73,11 +73,11 @@ def evaluate(records: DataFrame, q: ModelQuery) -> DataFrame:
             tests.append(F.when(~_known(name), f"{name}_not_verified").when(lacks, f"{name}_mismatch"))
     if q.min_context is not None:
         parts = F.split(F.col("context_window.value"), ":")
-        tests.append(F.when(~_known("context_window"), "context_missing_compatible").when(F.get(parts, F.lit(0)) != q.context_kind, "context_kind_mismatch").when(F.get(parts, F.lit(1)).cast("long") < q.min_context, "context_below_minimum"))
+        tests.append(F.when(~_known("context_window"), "missing_compatible_context_limit").when(F.get(parts, F.lit(0)) != q.context_kind, "context_window_kind_mismatch").when(F.get(parts, F.lit(1)).cast("long") < q.min_context, "context_window_below_minimum"))
     none = F.array().cast("array<string>")
     failed = F.array_compact(F.array(*tests)) if tests else none
     gate = ~F.col("disposition").isin(*q.dispositions) if q.documented_only else F.lit(False)
-    out = wide.withColumn("reasons", F.when(gate, F.array(F.lit("not_currently_documented"))).otherwise(failed))
+    out = wide.withColumn("reasons", F.when(gate, F.array(F.lit("documentation_not_eligible"))).otherwise(failed))
     return out.select("model_key", "provider", "disposition", (F.size("reasons") == 0).alias("matched"), "reasons")
 
 

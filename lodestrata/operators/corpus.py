@@ -41,7 +41,7 @@ def text_predicates(c: AnalysisConfig = AnalysisConfig(), code_heavy: Column | N
     """Predicate and extra number of each text code, over the columns of doc_stats()."""
     col, some = F.col, ~F.col("is_empty")
     none = F.lit(None).cast("long")
-    ratio = lambda a, b, least, r: (col(b) >= least) & (col(b) > 0) & (col(a) >= r * col(b))
+    ratio = lambda a, b, least, r: (col(b) >= least) & F.coalesce(F.try_divide(col(a).cast("double"), col(b)) >= r, F.lit(False))
     return {
         "EMPTY_DOCUMENTS": (col("is_empty"), none),
         "VERY_SMALL_DOCUMENTS": (some & (col("meaningful_length") < c.small_document_chars), col("meaningful_length")),

@@ -57,20 +57,24 @@ def fact_grid(statements: DataFrame, fact_names: DataFrame, evaluated: DataFrame
 
 
 def current_events(events: DataFrame) -> DataFrame:
-    """Deprecation events that decide a model's lifecycle. events: seq, model_id, listing (null, upcoming, current, past), announced, retires.
+    """Deprecation events that decide a model's lifecycle. events: seq, model_id, listing (null, upcoming, current, past), announced, retires, replacements.
 
-    Any without listing: all stay. Else upcoming and current ones beat past ones. Else the one past event with the
-    latest date stays, by announcement if all have one, by retirement if none has; mixed or tied: all stay.
+    Events alike in all but seq are one. Any without listing: all stay. Else upcoming and current ones beat past ones.
+    Else the one past event with the latest announcement stays, if all have one, or with the latest retirement, if none
+    is announced and all have one; where that is open or tied, all stay.
     """
-    e = events.withColumn("_k", F.struct("listing", "announced", "retires")).withColumn("_r", F.row_number().over(Window.partitionBy("model_id", "_k").orderBy("seq"))).where("_r = 1")
+    same = Window.partitionBy("model_id", "listing", "announced", "retires", "replacements").orderBy("seq")
+    e = events.withColumn("_r", F.row_number().over(same)).where("_r = 1")
     w = Window.partitionBy("model_id")
     flag = lambda c: F.max(c.cast("int")).over(w)
     live = F.coalesce(F.col("listing").isin("upcoming", "current"), F.lit(False))
-    by = F.when(F.count("announced").over(w) == F.count("*").over(w), F.col("announced")).when(F.count("announced").over(w) == 0, F.col("retires"))
-    e = e.withColumns({"_live": live, "_any_open": flag(F.col("listing").isNull()), "_any_live": flag(live), "_by": by, "_n": F.count("*").over(w)})
+    every = F.count("*").over(w)
+    by = F.when(F.count("announced").over(w) == every, F.col("announced")).when((F.count("announced").over(w) == 0) & (F.count("retires").over(w) == every), F.col("retires"))
+    e = e.withColumns({"_live": live, "_any_open": flag(F.col("listing").isNull()), "_any_live": flag(live), "_by": by})
     e = e.withColumn("_top", F.max("_by").over(w)).withColumn("_ties", F.sum((F.col("_by") == F.col("_top")).cast("int")).over(w))
-    keep = (F.col("_any_open") == 1) | F.when(F.col("_any_live") == 1, F.col("_live")).otherwise(F.when(F.coalesce(F.col("_ties"), F.lit(0)) == 1, F.col("_by") == F.col("_top")).otherwise(True))
-    return e.where((F.col("_n") == 1) | F.coalesce(keep, F.lit(True))).drop("_k", "_r", "_live", "_any_open", "_any_live", "_by", "_n", "_top", "_ties")
+    latest = F.when(F.coalesce(F.col("_ties"), F.lit(0)) == 1, F.col("_by") == F.col("_top")).otherwise(True)
+    keep = (F.col("_any_open") == 1) | F.when(F.col("_any_live") == 1, F.col("_live")).otherwise(latest)
+    return e.where(keep).drop("_r", "_live", "_any_open", "_any_live", "_by", "_top", "_ties")
 
 
 def lifecycle_value(stated: Column, retires: Column, verified_at: Column) -> Column:
@@ -87,17 +91,28 @@ def with_aliases(stated: DataFrame, resolves: DataFrame) -> DataFrame:
 
 
 def classify_statements(statements: DataFrame) -> DataFrame:
-    """The audit's kind of each group: incomparable, winning_rank_conflict, override, lower_rank_disagreement or supporting.
+    """The audit's findings of each group: kind, selected (the value of the highest rank, null: none), other (the value
+    of the statement that a finding is about, null: of several), seq (of that statement) and n_values.
 
-    incomparable: values of several types. winning_rank_conflict: the highest rank states several values. override:
-    a lower rank states another value than the highest, and only one other; lower_rank_disagreement: several others.
-    supporting: all agree.
+    incomparable: values of several types, which is then all. winning_rank_conflict: the highest rank states several
+    values. Else the first statement of the highest rank is selected, and every other one is supporting, if its value
+    is the same, or an override, if it is of a lower rank and differs. lower_rank_disagreement, besides: the lower
+    ranks alone state several values.
     """
-    s = statements.where("value IS NOT NULL").withColumn("top", F.max("rank").over(Window.partitionBy(*KEY)))
+    w = Window.partitionBy(*KEY)
+    s = statements.where("value IS NOT NULL").withColumn("top", F.max("rank").over(w))
     win = F.col("rank") == F.col("top")
-    g = s.groupBy(*KEY).agg(F.count_distinct("value_type").alias("types"), F.count_distinct(F.when(win, F.col("value"))).alias("winners"), F.count_distinct("value").alias("values"), F.count("*").alias("n_statements"), F.count_distinct(F.when(~win, F.col("value"))).alias("lower"))
-    kind = F.when(F.col("types") > 1, "incomparable").when(F.col("winners") > 1, "winning_rank_conflict").when(F.col("values") == 1, "supporting").when(F.col("values") == 2, "override").otherwise("lower_rank_disagreement")
-    return g.select(*KEY, kind.alias("kind"), "n_statements", F.col("values").alias("n_values"))
+    g = s.groupBy(*KEY).agg(F.count_distinct("value_type").alias("types"), F.count_distinct(F.when(win, F.col("value"))).alias("winners"), F.count_distinct(F.when(~win, F.col("value"))).alias("lower"), F.count_distinct("value_type", "value").alias("values"), F.min(F.when(win, F.struct("seq", "value"))).alias("first"))
+    one = F.when(F.col("winners") == 1, F.col("first.value"))
+    row = lambda when, kind, selected, n: F.when(when, F.struct(F.lit(kind).alias("kind"), selected.alias("selected"), F.lit(None).cast("string").alias("other"), F.lit(None).cast("long").alias("seq"), n.cast("long").alias("n_values")))
+    none, apart = F.lit(None).cast("string"), F.col("types") > 1
+    whole = F.array_compact(F.array(row(apart, "incomparable", none, F.col("values")), row(~apart & (F.col("winners") > 1), "winning_rank_conflict", none, F.col("winners")), row(~apart & (F.col("lower") > 1), "lower_rank_disagreement", one, F.col("lower"))))
+    groups = g.select(*KEY, F.explode(whole).alias("f")).select(*KEY, "f.*")
+    picked = g.where("types = 1 AND winners = 1").select(*KEY, "first")
+    pair = s.join(picked, list(KEY)).where(F.col("seq") != F.col("first.seq"))
+    kind = F.when(F.col("value") == F.col("first.value"), "supporting").when(~win, "override")
+    pairs = pair.withColumn("kind", kind).where("kind IS NOT NULL").select(*KEY, "kind", F.col("first.value").alias("selected"), F.col("value").alias("other"), F.col("seq").cast("long").alias("seq"), F.lit(None).cast("long").alias("n_values"))
+    return groups.union(pairs)
 
 
 def invalid_facts(facts: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def page_flags(summary: DataFrame, config: AnalysisConfig = AnalysisConfig()) ->
     """(path, code) of PDF_OCR_LIKELY, PDF_UNEVEN_PAGE_TEXT and PDF_LARGE_OR_COMPLEX."""
     n, chars, poor = F.col("n_pages"), F.col("n_chars"), F.col("n_poor_pages")
     few = (n < 3) & (chars > 0)
-    ocr = F.when(few, (chars < config.pdf_poor_page_chars) & (F.col("n_image_pages") > 0)).when(n == 0, chars < config.pdf_poor_page_chars).otherwise(poor >= config.pdf_poor_page_ratio * n)
+    ocr = F.when(few, (chars < config.pdf_poor_page_chars) & (F.col("n_image_pages") > 0)).when(n == 0, chars < config.pdf_poor_page_chars).otherwise(F.try_divide(poor.cast("double"), n) >= config.pdf_poor_page_ratio)
     uneven = ~few & (n > 0) & (poor >= F.greatest(F.lit(2), F.floor(n * config.pdf_uneven_ratio))) & (poor < n)
     large = (n >= config.pdf_large_pages) | (chars >= config.large_document_chars)
     codes = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in (("PDF_OCR_LIKELY", ocr), ("PDF_UNEVEN_PAGE_TEXT", uneven), ("PDF_LARGE_OR_COMPLEX", large)))))
@@ -47,15 +47,15 @@ def repeated_edges(pages: DataFrame, config: AnalysisConfig = AnalysisConfig())
     edges = p.select("path", "page_index", F.explode(F.array(F.struct(F.lit("header").alias("role"), F.col("header").alias("line")), F.struct(F.lit("footer").alias("role"), F.col("footer").alias("line")))).alias("e")).where("e.line IS NOT NULL")
     counts = edges.groupBy("path", "e.role", "e.line").agg(F.count("*").alias("n_with"), F.min("page_index").alias("seen"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("path", "role").orderBy(F.desc("n_with"), "seen"))).where("r = 1")
-    fit = (F.col("n_pages") >= config.pdf_edge_min_pages) & (F.col("n_with") >= config.pdf_edge_min_pages) & (F.col("n_with") >= config.pdf_edge_ratio * F.col("n_pages"))
+    fit = (F.col("n_pages") >= config.pdf_edge_min_pages) & (F.col("n_with") >= config.pdf_edge_min_pages) & (F.try_divide(F.col("n_with").cast("double"), F.col("n_pages")) >= config.pdf_edge_ratio)
     return top.join(n, "path").where(fit).select("path", "role", F.substring("line", 1, 120).alias("line"), "n_with", F.round(F.col("n_with") / F.col("n_pages"), 3).alias("share"))
 
 
 def layout_flags(joined: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """(path, code) of PDF_EXTRACTION_ANOMALY and PDF_TABLE_RICH, over doc_stats() of the joined pages and n_pages."""
     lines, chars = F.col("line_count"), F.col("total_chars")
-    anomaly = (F.col("n_pages") > 0) & (chars >= 200) & (lines >= 40) & (F.col("very_short_line_count") >= 0.8 * lines) & (chars < 80 * F.col("n_pages"))
-    table = (lines >= 20) & (F.col("table_like_line_count") >= config.pdf_table_ratio * lines)
+    anomaly = (F.col("n_pages") > 0) & (chars >= 200) & (lines >= 40) & (F.try_divide(F.col("very_short_line_count").cast("double"), lines) >= 0.8) & (chars < 80 * F.col("n_pages"))
+    table = (lines >= 20) & (F.try_divide(F.col("table_like_line_count").cast("double"), lines) >= config.pdf_table_ratio)
     codes = F.array_compact(F.array(F.when(anomaly, F.lit("PDF_EXTRACTION_ANOMALY")), F.when(table, F.lit("PDF_TABLE_RICH"))))
     return joined.select("path", F.explode(codes).alias("code"))
 
@@ -88,12 +88,12 @@ def _sql() -> dict[str, str]:
     few = "n_pages < 3 AND n_chars > 0"
     return {
         "page_summary": f"{head} SELECT * FROM s",
-        "page_flags": f"""{head} SELECT path, 'PDF_OCR_LIKELY' AS code FROM s WHERE CASE WHEN {few} THEN n_chars < 60 AND n_image_pages > 0 WHEN n_pages = 0 THEN n_chars < 60 ELSE n_poor_pages >= 0.4::DOUBLE * n_pages END
+        "page_flags": f"""{head} SELECT path, 'PDF_OCR_LIKELY' AS code FROM s WHERE CASE WHEN {few} THEN n_chars < 60 AND n_image_pages > 0 WHEN n_pages = 0 THEN n_chars < 60 ELSE n_poor_pages::DOUBLE / n_pages >= 0.4::DOUBLE END
 UNION ALL SELECT path, 'PDF_UNEVEN_PAGE_TEXT' FROM s WHERE NOT ({few}) AND n_poor_pages >= greatest(2, floor(n_pages * 0.25)) AND n_poor_pages < n_pages
 UNION ALL SELECT path, 'PDF_LARGE_OR_COMPLEX' FROM s WHERE n_pages >= 20 OR n_chars >= 100000""",
         "page_repeated_edges": f"""{head}, e AS (SELECT path, page_index, role, line FROM p, (VALUES ('header'), ('footer')) AS r(role) WHERE line IS NOT NULL),
 c AS (SELECT path, role, line, count(*) AS n_with, min(page_index) AS seen FROM e GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY path, role ORDER BY n_with DESC, seen) AS r FROM c)
-SELECT path, role, substr(line, 1, 120) AS line, n_with, round(n_with / n_pages, 3) AS share FROM t JOIN s USING (path) WHERE r = 1 AND n_pages >= 4 AND n_with >= 4 AND n_with >= 0.2::DOUBLE * n_pages""",
+SELECT path, role, substr(line, 1, 120) AS line, n_with, round(n_with / n_pages, 3) AS share FROM t JOIN s USING (path) WHERE r = 1 AND n_pages >= 4 AND n_with >= 4 AND n_with::DOUBLE / n_pages >= 0.2::DOUBLE""",
     }
 
 

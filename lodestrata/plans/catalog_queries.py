@@ -58,7 +58,7 @@ _RE = "model_key string, provider string, disposition string, fact_name string,
 NOTICES = [("google", "PARTIAL_MODEL_PAGES"), ("openai", "DOCUMENTED_SUBSET"), ("together", "HISTORY_WRITE_FAILED")]
 REFERENCES = [("a.py", 3, "openai", "m-one"), ("a.py", 9, "openai", "m-zzz"), ("b.py", 1, None, "m-two"), ("b.py", 2, None, "g-one"), ("c.json", None, "mistral", "x"), ("c.json", 4, None, "nope"), ("d.toml", 1, "openai", ""), ("d.toml", 2, "openai", "m-old")]
 MANIFESTS = [("openai", "g1", True, "h1"), ("openai", "g1", True, "h2"), ("openai", "g2", True, "h2"), ("openai", "g3", False, "h3"), ("openai", "g4", True, "h4"), ("google", "g1", True, "h5"), ("google", "g0", True, "h1")]
-EVENTS = [(1, "a", "past", "2025-01-01", "2025-06-01"), (2, "a", "past", "2025-03-01", "2025-09-01"), (3, "b", "past", None, "2025-01-01"), (4, "b", "upcoming", "2025-02-01", "2026-01-01"), (5, "c", None, None, "2025-01-01"), (6, "c", "past", "2025-01-01", None), (7, "d", "past", "2025-01-01", None), (8, "d", "past", None, "2025-02-01"), (9, "e", "past", None, "2025-02-01"), (10, "e", "past", None, "2025-03-01"), (11, "e", "past", None, "2025-03-01")]
+EVENTS = [(1, "a", "past", "2025-01-01", "2025-06-01", "x"), (2, "a", "past", "2025-03-01", "2025-09-01", "x"), (3, "b", "past", None, "2025-01-01", None), (4, "b", "upcoming", "2025-02-01", "2026-01-01", "x"), (5, "c", None, None, "2025-01-01", None), (6, "c", "past", "2025-01-01", None, None), (7, "d", "past", "2025-01-01", None, None), (8, "d", "past", None, "2025-02-01", None), (9, "e", "past", None, "2025-02-01", None), (10, "e", "past", None, "2025-03-01", None), (11, "e", "past", None, "2025-03-01", None), (12, "f", "upcoming", "2025-02-01", "2026-01-01", "x"), (13, "f", "upcoming", "2025-02-01", "2026-01-01", "y"), (14, "f", "past", "2025-03-01", None, "z"), (15, "g", "past", None, "2025-01-01", None), (16, "g", "past", None, "2025-06-01", None), (17, "g", "past", None, None, None), (18, "h", "past", "2025-04-01", "2025-06-01", "x"), (19, "h", "past", "2025-04-01", "2025-06-01", "y"), (20, "h", "past", "2025-01-01", "2025-06-01", "y")]
 
 
 def _values(rows, names: str) -> str:
@@ -151,7 +151,7 @@ QUERIES = {
     "catalog_history_events": lambda s, d: audit.history_events(before(s), after(s), "2026-02-01"),
     "fact_merge_by_rank": merged,
     "fact_statement_kinds": lambda s, d: facts.classify_statements(statements(s)),
-    "fact_current_events": lambda s, d: facts.current_events(s.createDataFrame(EVENTS, "seq long, model_id string, listing string, announced string, retires string")),
+    "fact_current_events": lambda s, d: facts.current_events(s.createDataFrame(EVENTS, "seq long, model_id string, listing string, announced string, retires string, replacements string")),
     "catalog_query": evaluated,
     "catalog_query_reasons": lambda s, d: catalog.reason_counts(catalog.evaluate(before(s), QUERY)),
     "catalog_lifecycle_diff": lambda s, d: catalog.lifecycle_diff(before(s), after(s)),
@@ -180,14 +180,22 @@ SELECT provider, generation, CASE WHEN bad THEN 'invalid' WHEN n = 0 THEN 'missi
 f AS (SELECT provider, model_id, fact_name, value, min(seq) AS seq, arg_min(source_id, seq) AS source_id, arg_min(verified_at, seq) AS verified_at FROM w WHERE rank = top GROUP BY 1, 2, 3, 4)
 SELECT provider, model_id, fact_name, CASE WHEN count(*) = 1 THEN 'known' ELSE 'conflict' END AS status, CASE WHEN count(*) = 1 THEN min(value) END AS value, CASE WHEN count(*) = 1 THEN min(source_id) END AS source_id,
 CASE WHEN count(*) = 1 THEN min(verified_at) END AS verified_at, CASE WHEN count(*) > 1 THEN string_agg(value || '@' || source_id, '|' ORDER BY seq) END AS claims FROM f GROUP BY 1, 2, 3""",
-    "fact_statement_kinds": _S + """, w AS (SELECT *, max(rank) OVER (PARTITION BY provider, model_id, fact_name) AS top FROM s)
-SELECT provider, model_id, fact_name, CASE WHEN count(DISTINCT value_type) > 1 THEN 'incomparable' WHEN count(DISTINCT value) FILTER (rank = top) > 1 THEN 'winning_rank_conflict' WHEN count(DISTINCT value) = 1 THEN 'supporting' WHEN count(DISTINCT value) = 2 THEN 'override' ELSE 'lower_rank_disagreement' END AS kind,
-count(*) AS n_statements, count(DISTINCT value) AS n_values FROM w GROUP BY 1, 2, 3""",
+    "fact_statement_kinds": _S + """, w AS (SELECT *, max(rank) OVER k AS top FROM s WHERE value IS NOT NULL WINDOW k AS (PARTITION BY provider, model_id, fact_name)),
+g AS (SELECT provider, model_id, fact_name, count(DISTINCT value_type) AS types, count(DISTINCT value) FILTER (rank = top) AS winners, count(DISTINCT value) FILTER (rank < top) AS lower, count(DISTINCT (value_type, value)) AS vals, min(seq) FILTER (rank = top) AS first FROM w GROUP BY ALL)
+SELECT provider, model_id, fact_name, 'incomparable' AS kind, NULL::VARCHAR AS selected, NULL::VARCHAR AS other, NULL::BIGINT AS seq, vals::BIGINT AS n_values FROM g WHERE types > 1
+UNION ALL SELECT provider, model_id, fact_name, 'winning_rank_conflict', NULL, NULL, NULL, winners FROM g WHERE types = 1 AND winners > 1
+UNION ALL SELECT provider, model_id, fact_name, 'lower_rank_disagreement', (SELECT value FROM w WHERE w.seq = g.first AND winners = 1), NULL, NULL, lower FROM g WHERE types = 1 AND lower > 1
+UNION ALL SELECT w.provider, w.model_id, w.fact_name, CASE WHEN w.value = f.value THEN 'supporting' ELSE 'override' END, f.value, w.value, w.seq, NULL FROM w JOIN g ON (w.provider, w.model_id, w.fact_name) = (g.provider, g.model_id, g.fact_name) JOIN w AS f ON f.seq = g.first WHERE types = 1 AND winners = 1 AND w.seq <> g.first""",
+    "fact_current_events": f"""WITH e AS (SELECT min(seq) AS seq, model_id, listing, announced, retires, replacements FROM {_values(EVENTS, 'seq, model_id, listing, announced, retires, replacements')} GROUP BY ALL),
+k AS (SELECT *, CASE WHEN bool_or(listing IS NULL) OVER w THEN 'all' WHEN bool_or(listing IN ('upcoming', 'current')) OVER w THEN 'live' WHEN bool_and(announced IS NOT NULL) OVER w THEN 'announced' WHEN bool_and(announced IS NULL AND retires IS NOT NULL) OVER w THEN 'retires' ELSE 'all' END AS rule FROM e WINDOW w AS (PARTITION BY model_id)),
+d AS (SELECT *, CASE rule WHEN 'announced' THEN announced WHEN 'retires' THEN retires END AS day FROM k), m AS (SELECT *, max(day) OVER (PARTITION BY model_id) AS latest FROM d),
+t AS (SELECT *, count(*) FILTER (day = latest) OVER (PARTITION BY model_id) AS ties FROM m)
+SELECT seq::BIGINT AS seq, model_id, listing, announced, retires, replacements FROM t WHERE rule = 'all' OR rule = 'live' AND listing <> 'past' OR day IS NOT NULL AND (ties > 1 OR day = latest)""",
     "catalog_query": f"""WITH {_B}, p AS (SELECT model_key, provider, coalesce(disposition, 'legacy_uncertified') AS disposition, {', '.join(f"max(status) FILTER (fact_name = '{n}') AS {n}_s, max(value) FILTER (fact_name = '{n}' AND status = 'known') AS {n}_v" for n in ('lifecycle', 'api_access', 'input_modalities', 'context_window'))} FROM b GROUP BY 1, 2, 3),
-r AS (SELECT *, CASE WHEN disposition NOT IN ('currently_documented', 'legacy_uncertified') THEN 'not_currently_documented' ELSE concat_ws(',', CASE WHEN lifecycle_v IS NULL THEN 'lifecycle_not_verified' WHEN lifecycle_v <> 'active' THEN 'lifecycle_mismatch' END,
+r AS (SELECT *, CASE WHEN disposition NOT IN ('currently_documented', 'legacy_uncertified') THEN 'documentation_not_eligible' ELSE concat_ws(',', CASE WHEN lifecycle_v IS NULL THEN 'lifecycle_not_verified' WHEN lifecycle_v <> 'active' THEN 'lifecycle_mismatch' END,
 CASE WHEN api_access_v IS NULL THEN 'api_access_not_verified' WHEN api_access_v <> 'true' THEN 'api_access_mismatch' END,
 CASE WHEN input_modalities_v IS NULL THEN 'input_modalities_not_verified' WHEN NOT list_has_all(string_split(input_modalities_v, ','), ['text', 'image']) THEN 'input_modalities_mismatch' END,
-CASE WHEN context_window_v IS NULL THEN 'context_missing_compatible' WHEN string_split(context_window_v, ':')[1] <> 'combined' THEN 'context_kind_mismatch' WHEN string_split(context_window_v, ':')[2]::BIGINT < 100000 THEN 'context_below_minimum' END) END AS reasons FROM p)
+CASE WHEN context_window_v IS NULL THEN 'missing_compatible_context_limit' WHEN string_split(context_window_v, ':')[1] <> 'combined' THEN 'context_window_kind_mismatch' WHEN string_split(context_window_v, ':')[2]::BIGINT < 100000 THEN 'context_window_below_minimum' END) END AS reasons FROM p)
 SELECT model_key, provider, disposition, reasons = '' AS matched, reasons FROM r""",
     "catalog_lifecycle_diff": f"""WITH {_B}, {_A}, kb AS (SELECT DISTINCT model_key, provider FROM b), ka AS (SELECT DISTINCT model_key, provider FROM a), k AS (SELECT coalesce(kb.model_key, ka.model_key) AS model_key, coalesce(kb.provider, ka.provider) AS provider, kb.model_key AS ob, ka.model_key AS oa FROM kb FULL JOIN ka USING (model_key, provider)),
 kk AS (SELECT * FROM k WHERE provider IN (SELECT provider FROM b)), names(fact_name, change, o) AS (VALUES ('documentation', 'documentation_changed', 2), ('lifecycle', 'lifecycle_changed', 3), ('deprecated_at', 'deprecation_date_changed', 4), ('retirement_at', 'retirement_date_changed', 5), ('replacement', 'replacement_changed', 6)),

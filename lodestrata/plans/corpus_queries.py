@@ -46,7 +46,7 @@ stats AS (SELECT path, size_bytes{more}, length(t)::BIGINT AS total_chars, meani
 
 
 def _flags_sql(c: AnalysisConfig) -> str:
-    r = lambda a, b, least, x: f"NOT is_empty AND {b} >= {least} AND {b} > 0 AND {a} >= {x}::DOUBLE * {b}"
+    r = lambda a, b, least, x: f"NOT is_empty AND {b} >= {least} AND CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} >= {x}::DOUBLE ELSE false END"
     tests = {
         "EMPTY_DOCUMENTS": "is_empty",
         "VERY_SMALL_DOCUMENTS": f"NOT is_empty AND meaningful_length < {c.small_document_chars}",

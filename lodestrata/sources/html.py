@@ -55,11 +55,17 @@ class _Tree(HTMLParser):
         self.stack[-1][1].append(("#comment", decl))
 
 
+def _inner(node) -> list:
+    return node[1] if isinstance(node, tuple) and isinstance(node[1], list) else []
+
+
 def _walk(node):
-    yield node
-    if isinstance(node, tuple) and isinstance(node[1], list):
-        for x in node[1]:
-            yield from _walk(x)
+    """A node and all below it in order, whatever their depth."""
+    stack = [node]
+    while stack:
+        one = stack.pop()
+        yield one
+        stack.extend(reversed(_inner(one)))
 
 
 def _texts(node):
@@ -67,10 +73,11 @@ def _texts(node):
 
 
 def _prune(node):
-    node[1][:] = [x for x in node[1] if isinstance(x, str) or x[0] not in DROPPED]
-    for x in node[1]:
-        if isinstance(x, tuple) and isinstance(x[1], list):
-            _prune(x)
+    stack = [node]
+    while stack:
+        own = _inner(stack.pop())
+        own[:] = [x for x in own if isinstance(x, str) or x[0] not in DROPPED]
+        stack.extend(own)
 
 
 def _joined(node, by: str) -> str:
@@ -78,7 +85,9 @@ def _joined(node, by: str) -> str:
 
 
 def _render(node, out: list[str]) -> None:
-    for x in node[1]:
+    stack = list(reversed(node[1]))
+    while stack:
+        x = stack.pop()
         if isinstance(x, str) or x[0] == "#comment":
             line = (x if isinstance(x, str) else x[1]).strip(WS_CHARS)
             if line:
@@ -94,22 +103,26 @@ def _render(node, out: list[str]) -> None:
             out += [f"- {line}" for li in x[1] if isinstance(li, tuple) and li[0] == "li" and (line := _joined(li, " "))]
             out.append("")
         elif name == "pre":
-            out += ["".join(_texts(x)), ""]
+            if code := "\n".join(_texts(x)).rstrip(WS_CHARS):
+                out += [code, ""]
         elif name == "table":
-            for row in _walk(x):
-                if isinstance(row, tuple) and row[0] == "tr":
-                    cells = [c for c in (_joined(cell, " ") for cell in row[1] if isinstance(cell, tuple) and cell[0] in ("td", "th")) if c]
-                    if cells:
-                        out.append(" | ".join(cells))
+            for row in _elements(x, "tr"):
+                if cells := [c for c in (_joined(cell, " ") for cell in _elements(row, "td", "th")) if c]:
+                    out.append(" | ".join(cells))
             out.append("")
         elif name == "br":
             out.append("")
         else:
-            _render(x, out)
+            stack.extend(reversed(x[1]))
+
+
+def _elements(node, *names: str) -> list:
+    """Elements of these names below a node, nested ones too."""
+    return [x for k, x in enumerate(_walk(node)) if k and isinstance(x, tuple) and x[0] in names]
 
 
 def extract(source: str | None) -> tuple[str, str, int, int, int]:
-    """title, text, characters of content, of boilerplate, of code. Null: empty."""
+    """title, text (with a line feed at the end, if any), characters of content, of boilerplate, of code in the body. Null: empty."""
     tree = _Tree()
     tree.feed(source or "")
     tree.close()
@@ -117,32 +130,43 @@ def extract(source: str | None) -> tuple[str, str, int, int, int]:
     nodes = [x for x in _walk(tree.root) if isinstance(x, tuple) and isinstance(x[1], list)]
     title = next((_joined(x, " ") for x in nodes if x[0] == "title"), "")
     boilerplate = "\n".join(b for b in (_joined(x, " ") for x in nodes if x[0] in BOILERPLATE) if b)
-    code = sum(len("".join(_texts(x))) for x in nodes if x[0] in ("pre", "code"))
     body = next((x for x in nodes if x[0] == "body"), tree.root)
+    code = sum(len("".join(_texts(x))) for x in _elements(body, "pre", "code"))
     out: list[str] = []
     _render(body, out)
     text = "\n".join(out).strip(WS_CHARS)
+    if title and title not in text[:200]:
+        text = f"{title}\n\n{text}".strip(WS_CHARS)
     while "\n\n\n" in text:
         text = text.replace("\n\n\n", "\n\n")
-    if title and title not in text[:200]:
-        text = f"{title}\n\n{text}" if text else title
-    return title, text, len(text), len(boilerplate), code
+    return title, text + "\n" if text else "", len(text), len(boilerplate), code
+
+
+def _extracted(source: str | None) -> tuple:
+    """What extract() gives and null, or for a page that can't be parsed empty values and the kind of error."""
+    try:
+        return (*extract(source), None)
+    except (AssertionError, RecursionError, ValueError) as error:
+        return "", "", 0, 0, 0, type(error).__name__
 
 
 def html_documents(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with title, text, content_chars, boilerplate_chars, code_chars, raw_bytes and code_heavy, a map without shuffle."""
-    base = pages.drop("title", "text", "content_chars", "boilerplate_chars", "code_chars")
+    """pages with title, text, content_chars, boilerplate_chars, code_chars, error (null: none), raw_bytes and code_heavy, a
+    map without shuffle. A page that can't be parsed is a row with an error."""
+    names = ("title", "text", "content_chars", "boilerplate_chars", "code_chars", "error")
+    base = pages.drop(*names)
     keep = base.columns
 
     def run(batches):
         for batch in batches:
-            rows = [extract(x) for x in batch.column(html).to_pylist()]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[*keep, "title", "text", "content_chars", "boilerplate_chars", "code_chars"])
+            rows = [_extracted(x) for x in batch.column(html).to_pylist()]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[*keep, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "title string, text string, content_chars long, boilerplate_chars long, code_chars long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "title string, text string, content_chars long, boilerplate_chars long, code_chars long, error string"])
     out = base.mapInArrow(run, schema)
-    return out.withColumn("raw_bytes", F.coalesce(F.octet_length(html), F.lit(0)).cast("long")).withColumn("code_heavy", (F.col("content_chars") > 0) & (F.col("code_chars") >= 0.25 * F.col("content_chars")))
+    share = F.try_divide(F.col("code_chars").cast("double"), F.col("content_chars"))
+    return out.withColumn("raw_bytes", F.coalesce(F.octet_length(html), F.lit(0)).cast("long")).withColumn("code_heavy", F.coalesce(share >= 0.25, F.lit(False)))
 
 
 def html_predicates(c: AnalysisConfig = AnalysisConfig()) -> dict[str, tuple[Column, Column]]:

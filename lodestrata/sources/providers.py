@@ -496,7 +496,7 @@ def contradictions(said: DataFrame) -> DataFrame:
 
 def _events(said: DataFrame) -> DataFrame:
     pick = lambda n: F.max(F.when(F.col("fact_name") == n, F.col("value")))
-    return said.where("event IS NOT NULL AND NOT scoped").groupBy("provider", "model_id", F.col("event").alias("seq")).agg(F.max("listing").alias("listing"), pick("deprecated_at").alias("announced"), pick("retirement_at").alias("retires"))
+    return said.where("event IS NOT NULL AND NOT scoped").groupBy("provider", "model_id", F.col("event").alias("seq")).agg(F.max("listing").alias("listing"), pick("deprecated_at").alias("announced"), pick("retirement_at").alias("retires"), pick("replacement").alias("replacements"))
 
 
 def reduce_statements(said: DataFrame) -> DataFrame:

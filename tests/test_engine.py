@@ -73,7 +73,7 @@ def test_app_scan(spark):
     src = [("a.py", py), ("b.json", '{"x": [{"model": "j"}]}'), ("c.toml", '[t]\nmodel_id = "k"'), ("d.py", "def ("), ("e.py", "import openai, anthropic\nf(model='w')")]
     obs = appscan.observations(spark.createDataFrame(src, "path string, content string"))
     rows = {(r["path"], r["key"], r["value"], r["provider"], r["reason"]) for r in obs.collect()}
-    assert {("a.py", "model", "m-one", "openai", None), ("a.py", "model", None, "openai", "variable"), ("a.py", "model", "z", "openai", None), ("a.py", "model_name", "q", "openai", None), ("a.py", "model", None, "openai", "environment"), ("b.json", "x[0].model", "j", None, None), ("c.toml", "t.model_id", "k", None, None), ("d.py", None, None, None, "SyntaxError"), ("e.py", "model", "w", None, None)} == rows
+    assert {("a.py", "model", "m-one", "openai", None), ("a.py", "model", None, "openai", "name_not_bound"), ("a.py", "model", "z", "openai", None), ("a.py", "model_name", "q", "openai", None), ("a.py", "model", None, "openai", "dynamic_expression"), ("b.json", "x[0].model", "j", None, None), ("c.toml", "t.model_id", "k", None, None), ("d.py", None, None, None, "SyntaxError"), ("e.py", "model", "w", None, None)} == rows
     assert appscan.inventory(obs).where("state = 'established'").count() == 3 and appscan.unresolved(obs).count() == 2
 
 
@@ -116,3 +116,35 @@ def test_order_of_rows_does_not_matter(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), "text")
     one, two = (corpus.findings(corpus.flags(doc_stats(d), corpus.text_predicates())).collect() for d in (df, df.orderBy(F.xxhash64("path")).repartition(5)))
     assert one == two and re.match("[A-Z_]+", one[0]["code"])
+
+
+def test_ratios_divide(spark):
+    """A share that equals its limit counts, also where the limit times the size is not a whole number in binary."""
+    rows = [(f"{a}/{b}", False, a, b) for a, b in ((55, 100), (99, 180), (110, 200), (54, 100), (109, 200))]
+    stats = spark.createDataFrame(rows, "path string, is_empty boolean, short_line_count long, line_count long")
+    named = corpus.text_predicates(AnalysisConfig(fragmented_ratio=0.55, fragmented_min_lines=30))["OVERLY_FRAGMENTED_LINES"][0]
+    assert {r["path"] for r in stats.where(named).collect()} == {"55/100", "99/180", "110/200"}
+
+
+def test_html_blocks():
+    page = "<html><head><title>T</title><code>head</code></head><body><pre><code>a</code><span>b</span>\n</pre><table><tr><td><b>x</b></td><th>y</th></tr><tr><td>p<table><tr><td>q</td></tr></table></td></tr></table></body></html>"
+    title, text, content, boilerplate, code = extract(page)
+    assert title == "T" and text == "T\n\na\nb\n\nx | y\np q | q\nq\n" and content == len(text) - 1 and (boilerplate, code) == (0, 4)
+    assert extract("<div>" * 5000 + "deep" + "</div>" * 5000)[1] == "deep\n" and extract(None)[1] == ""
+
+
+def test_unbound_reasons():
+    """Reasons by the kind of expression; only real lookups in the environment count as such."""
+    said = {"name": "name_not_bound", "a.b": "unresolved_attribute", "f()": "dynamic_call", "d['k']": "dynamic_subscript", "os.environ['K']": "dynamic_expression", "os.getenv('K')": "dynamic_expression", "environ.get('K')": "dynamic_expression", "my_environment.x": "unresolved_attribute", "f'{x}'": "dynamic_expression", "a or b": "dynamic_expression", "[1]": "unresolved_expression", "my_environ('K')": "dynamic_call"}
+    for text, reason in said.items():
+        assert [r[5] for r in appscan.python_references(f"c(model={text})")] == [reason], text
+    long = appscan.python_references(f"c(model=f({'x' * 300}))")[0][6]
+    assert len(long) == 160 and long.endswith("...")
+
+
+def test_app_project_below_a_skipped_name(spark, tmp_path):
+    root = tmp_path / "build" / "app"
+    for name in ("a.py", "vendor/b.py", "src/c.json", "site-packages/d.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("{}")
+    assert {r["path"].rsplit("/", 1)[1] for r in appscan.project(spark, str(root)).collect()} == {"a.py", "c.json"}

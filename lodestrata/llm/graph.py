@@ -53,12 +53,11 @@ def components(links: DataFrame, workspace: Workspace, name: str = "cc", rounds:
         small = large.join(least, large["a"] == least["u"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
         after = workspace.save(small.select("e.a", "e.b").where("a <> b").distinct(), f"{name}-{k}")
         # stars: no node is both a leaf and a centre, and no leaf has two centres
-        leaves = after.groupBy("a").agg(F.count("*").alias("n"))
-        several = leaves.where("n > 1").limit(1).count()
-        nested = 0 if several else after.select(F.col("b").alias("c")).distinct().join(leaves, F.col("c") == F.col("a"), "left_semi").limit(1).count()
+        ends = after.select(F.col("a").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(after.select("b", F.lit(0), F.lit(1)))
+        settled = ends.groupBy("x").agg(F.sum("leaf").alias("n"), F.max("centre").alias("c")).where("n > 1 OR n = 1 AND c = 1").isEmpty()
         workspace.drop(f"{name}-{k - 1}")
         edges = after
-        if not several and not nested:
+        if settled:
             break
     else:
         raise RuntimeError("components did not settle")
@@ -188,7 +187,7 @@ def linked(rows: DataFrame, texts: DataFrame, flat: Callable, percent: int, work
     star = rows.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = workspace.save(verify(star) if known is None else verify(star).union(known), "links-1")
     parts = components(first, workspace, "cc1")
-    whole = rows.select("bucket", "node").join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    whole = workspace.save(rows.select("bucket", "node").join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")), "whole")
     mixed = whole.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q AND n > 2").select("bucket")
     every = workspace.save(whole.join(mixed, "bucket", "left_semi").distinct().join(texts.select("node", "w"), "node"), "open")
     sums = every.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("w").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("alike"))

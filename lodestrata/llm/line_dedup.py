@@ -72,9 +72,10 @@ class Characters:
         """Hashes of ranges of bytes. Up to 8 bytes have different ones."""
         size = end - begin
         wide = np.flatnonzero(size > 8)
-        size[wide] = 8
         out = self.eight[begin]
-        out &= _FIRST[size]
+        if size.min(initial=8) < 8:
+            size[wide] = 8
+            out &= _FIRST[size]
         out[wide] = span(self.sums, begin[wide], end[wide])
         out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
@@ -94,27 +95,29 @@ class Characters:
 
 
 def line_bands(small: np.ndarray, n: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Bucket numbers of each line, one per band, of the 32-bit hashes of the shingles of lines that have n each.
-    Odd factors permute 32-bit numbers; those of shingles are spread already. Lines of
-    like sizes are columns of one matrix, short ones filled up with their last shingle, so that a coordinate of all of
-    them is a minimum over rows."""
+    """Bucket numbers of each line, one per band, of the 32-bit hashes of the shingles of lines that have n each. Odd
+    factors permute 32-bit numbers; those of shingles are spread already. Short lines of like sizes are columns of one
+    matrix, filled up with their last shingle, and minima are taken over its rows; long lines lie one after another."""
     at = np.cumsum(n) - n
     sig = np.empty((bands * rows, len(n)), np.uint32)
-    order = np.argsort(n, kind="stable")
-    high, k = n[order], 0
+    brief = len(small) < 128 * len(n)
+    order = np.argsort(n, kind="stable") if brief else np.arange(len(n))
+    size, k = n[order], 0
     while k < len(n):
-        # the longest line of a matrix has at most a half more shingles than the shortest
-        j = int(np.searchsorted(high, high[k] * 3 // 2, "right"))
-        j = max(k + 1, min(j, int(np.searchsorted(high[k:j] * np.arange(1, j - k + 1), _BLOCK, "right")) + k))
-        own, most = order[k:j], int(high[j - 1])
-        if most <= j - k:
-            matrix, axis = small[at[own][None, :] + np.minimum(np.arange(most)[:, None], n[own] - 1)], 0
+        if brief:
+            # the longest line of a matrix has at most a half more shingles than the shortest
+            j = int(np.searchsorted(size, size[k] * 3 // 2, "right"))
+            j = max(k + 1, min(j, int(np.searchsorted(size[k:j] * np.arange(1, j - k + 1), _BLOCK, "right")) + k))
+            own = order[k:j]
+            block = small[at[own][None, :] + np.minimum(np.arange(size[j - 1])[:, None], n[own] - 1)]
         else:
-            matrix, axis = small[at[own][:, None] + np.minimum(np.arange(most), n[own][:, None] - 1)], 1
-        turned = np.empty_like(matrix)
+            j = max(k + 1, int(np.searchsorted(at, at[k] + _BLOCK, "right")) - 1)
+            own, begin = slice(k, j), at[k:j] - at[k]
+            block = small[at[k] : at[j - 1] + n[j - 1]]
+        turned = np.empty_like(block)
         for c in range(bands * rows):
-            np.multiply(matrix, _MULTIPLY[c], out=turned)
-            sig[c, own] = turned.min(axis)
+            np.multiply(block, _MULTIPLY[c], out=turned)
+            sig[c, own] = turned.min(0) if brief else np.minimum.reduceat(turned, begin)
         k = j
     out = np.empty((len(n), bands), np.uint64)
     for b in range(bands):
@@ -232,7 +235,7 @@ def fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, t: the lines that nodes (node, doc_id, line_no) name; those of odd nodes begin with a line feed."""
     places = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node")).alias("want"))  # lines of one document
     lines = docs.join(places.hint("merge"), "doc_id").withColumn("lines", F.split("text", "\n"))
-    return lines.select(F.explode(F.transform("want", lambda w: F.struct(w["node"].alias("node"), F.concat(F.when(w["node"] % 2 == 0, "").otherwise("\n"), F.get("lines", w["line_no"].cast("int"))).alias("t")))).alias("e")).select("e.node", "e.t").where("t IS NOT NULL").dropDuplicates(["node"])
+    return lines.select(F.explode(F.transform("want", lambda w: F.struct(w["node"].alias("node"), F.concat(F.when(w["node"] % 2 == 0, "").otherwise("\n"), F.get("lines", w["line_no"].cast("int"))).alias("t")))).alias("e")).select("e.node", "e.t").where("t IS NOT NULL")
 
 
 def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT) -> DataFrame:
@@ -253,7 +256,7 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT) -
     found = workspace.save(sketched.where("node IS NOT NULL").select("doc_id", "line_no", "node"), "lines")
     place = F.struct("doc_id", "line_no")
     nodes = workspace.save(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("node", "first.doc_id", "first.line_no", "n"), "line-nodes")
-    entries = sketched.agg(F.sum((F.octet_length("buckets") / 8).cast("long")).alias("n")).first()["n"] or 0
+    entries = nodes.count() * (SHORT_BANDS + BANDS) // 2
     rows = shared_buckets(sketched.where("buckets IS NOT NULL").select("nodes", "buckets"), entries, workspace, flat, 24)
     workspace.drop("sketch")
     even = F.col("node").bitwiseAND(F.lit(-2).cast("long"))
@@ -270,7 +273,8 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, percent: int = PERCENT) -
     out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left").drop("gone_id").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
     pieces = F.split("text", "\n")
     text = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("removed_lines", i.cast("long"))), "\n"))
-    out = out.withColumn("n_lines", F.coalesce(F.size(pieces), F.lit(0)).cast("long")).withColumn("n_removed_lines", F.size("removed_lines").cast("long")).withColumn("text", text)
+    feeds = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    out = out.withColumn("n_lines", F.coalesce(feeds + 1, F.lit(0)).cast("long")).withColumn("n_removed_lines", F.size("removed_lines").cast("long")).withColumn("text", text)
     return sheltered(out, columns, used, "n_lines", "n_removed_lines", "removed_lines")
 
 

@@ -23,8 +23,8 @@ _TABLE = np.random.default_rng(20240501).integers(0, 1 << 64, 256, dtype=np.uint
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
-#: Bytes of text hashed at a time; bounds the memory of a Python worker whatever the length of a text.
-CHUNK = 1 << 19
+#: Bytes of text hashed at a time: bounds the memory of a Python worker whatever the length of a text, and fits its cache.
+CHUNK = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -19,6 +19,8 @@ TILE = 4096
 BLOCK = 1024
 SAMPLE = 20_000
 BOX = 12
+#: Share of a block's pairs above which its products are made as a whole and not pair by pair.
+DENSE = 0.05
 #: Slack of the bounds, well above rounding; what passes is decided in double precision on the vectors as given.
 SLACK = 1e-4
 
@@ -60,28 +62,39 @@ def links(one: np.ndarray, other: np.ndarray, axes: np.ndarray, threshold: float
         for j in range(0, len(y), BLOCK):
             a, b = x[i : i + BLOCK], y[j : j + BLOCK]
             k = cuts[0]
-            bound = a[:, :k] @ b[:, :k].T
-            acc = bound
-            bound = acc + tx[i : i + BLOCK, k, None] * ty[None, j : j + BLOCK, k]
-            p, q = np.nonzero(bound >= need)
-            if len(p) > 0.05 * bound.size:
-                full = one[i : i + BLOCK] @ other[j : j + BLOCK].T
-                p, q = np.nonzero(full >= threshold)
-                yield i + p, j + q
-                continue
-            part = acc[p, q]
+            acc, part = a[:, :k] @ b[:, :k].T, None
+            p, q = np.nonzero(acc + tx[i : i + BLOCK, k, None] * ty[None, j : j + BLOCK, k] >= need)
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if not len(p):
                     break
-                part = part + np.einsum("ij,ij->i", a[p, lo:hi], b[q, lo:hi])
-                ok = part + tx[i + p, hi] * ty[j + q, hi] >= need
-                p, q, part = p[ok], q[ok], part[ok]
+                if part is None and len(p) > DENSE * acc.size:
+                    # so many pairs live on that the block's product goes on as a whole
+                    acc += a[:, lo:hi] @ b[:, lo:hi].T
+                    now = acc[p, q]
+                else:
+                    part = now = (acc[p, q] if part is None else part) + np.einsum("ij,ij->i", a[p, lo:hi], b[q, lo:hi])
+                ok = now + tx[i + p, hi] * ty[j + q, hi] >= need
+                p, q = p[ok], q[ok]
+                part = None if part is None else part[ok]
             if len(p):
-                ok = np.einsum("ij,ij->i", one[i + p], other[j + q]) >= threshold
+                ok = decide(one[i : i + BLOCK], other[j : j + BLOCK], p, q, threshold)
                 p, q = p[ok], q[ok]
             yield i + p, j + q
 
 
+def decide(one: np.ndarray, other: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the products of rows p and q, summed in double precision in one way, reach the threshold. Of many pairs
+    a product of matrices settles those that lie further from it than any order of summing can matter."""
+    exact = lambda k: np.einsum("ij,ij->i", one[p[k]], other[q[k]]) >= threshold
+    if len(p) <= DENSE * len(one) * len(other):
+        return exact(slice(None))
+    product = (one @ other.T)[p, q]
+    ok = product >= threshold
+    for k in np.array_split(close := np.flatnonzero(np.abs(product - threshold) < 1e-9), len(close) // 65536 + 1):
+        ok[k] = exact(k)
+    return ok
+
+
 def near_vectors(vectors: DataFrame, workspace: Workspace, threshold: float = THRESHOLD, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 

@@ -238,6 +238,20 @@ def test_op2_embeddings(spark):
             assert (r["n_links"], r["component_id"]) == ((1, 305) if r["vec_id"] in (305, 306) else (0, r["vec_id"]))
 
 
+def test_op2_dense_blocks():
+    """Many near vectors, some exactly at the threshold: blocks as a whole and pairs one by one find the same links."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=16) + rng.normal(size=(400, 16)) * 0.12
+    v[::7] = np.round(v[::7])
+    v[1::7] = 2 * v[::7][: len(v[1::7])]
+    u = embeddings.unit(v)
+    near = np.einsum("ij,kj->ik", u, u)
+    limit = float(np.sort(near.ravel())[near.size // 2])
+    found = {(a, b) for p, q in embeddings.links(u, u, embeddings.rotation(u), limit) for a, b in zip(p.tolist(), q.tolist(), strict=True)}
+    want = {(a, b) for a in range(400) for b in np.flatnonzero(np.einsum("ij,ij->i", np.repeat(u[a : a + 1], 400, 0), u) >= limit).tolist()}
+    assert found == want and 0.4 < len(found) / near.size < 0.6
+
+
 def test_op5_rules(spark, docs, rows, empty):
     got = quality_rules.judge(docs, workspace=Workspace(spark, "t5")).collect()
     assert quality_rules.judge(empty).count() == 0 and len(got) == len(rows)

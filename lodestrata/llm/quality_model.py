@@ -151,9 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     that fit into `sample_bytes` of text one after another in order of the hash; one that does not fit is left out and
     the next ones are tried. Without labelled rows every score is 0.5."""
     own = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    rows = docs.select("doc_id", "text").join(own, "doc_id").select(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id", "y", "text")
+    # sizes and hashes are taken below the join, so that of the first query no text travels, and of the second few texts
+    sized = docs.select(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     some, size = [], 0
-    for h, doc_id, n in rows.select("h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h", "doc_id", "n").limit(sample).collect():
+    for h, doc_id, n in sized.select("h", "doc_id", "n").join(own, "doc_id").select("h", "doc_id", "n").orderBy("h", "doc_id", "n").limit(sample).collect():
         if size + n <= sample_bytes:
             some.append((h, doc_id, n))
             size += n
@@ -161,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         return FactorisationMachine()
     spark = docs.sparkSession
     picked = spark.createDataFrame(some, "h long, doc_id long, n int").distinct()  # bounded by `sample`
-    taken = rows.join(F.broadcast(picked), (rows["h"] == picked["h"]) & (rows["doc_id"] == picked["doc_id"]) & (F.coalesce(F.octet_length("text"), F.lit(0)) == picked["n"]), "left_semi")
+    texts = sized.where(F.col("h") <= max(h for h, _, _ in some)).join(F.broadcast(picked), ["h", "doc_id", "n"], "left_semi")
+    taken = texts.join(own, "doc_id")
     taken = sorted(((r["h"], r["text"] or "", r["y"]) for r in taken.collect()))[:sample]
     texts, marks = [t for _, t, _ in taken], [y for _, _, y in taken]
     return FactorisationMachine().fit(features(pa.array(texts, pa.string())), np.array(marks, np.float64))

@@ -56,7 +56,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL expresses neither fuzzy links nor packing; tests/llm compares the stages with brute force.
+#: SQL expresses neither fuzzy links nor packing; tests/llm compares the operators of the stages with brute force.
 ORACLE_SQL = None
 
 

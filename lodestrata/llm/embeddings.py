@@ -10,17 +10,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, settle
+from .graph import components, settle, stars
 from .shared import Workspace
 
 THRESHOLD = 0.95
 TILE = 4096
+#: Numbers in a tile's vectors, so that long vectors make tiles of fewer rows; tiles in a strip, which a task reads as a whole.
+TILE_NUMBERS = 1 << 18
+STRIP = 16
 #: Rows of one block of a tile, so that a block of products holds BLOCK * BLOCK numbers.
-BLOCK = 1024
+BLOCK = 512
+#: Vectors, and numbers in them, from which the driver makes axes.
 SAMPLE = 20_000
+SAMPLE_NUMBERS = 1 << 21
 BOX = 12
 #: Share of a block's pairs above which its products are made as a whole and not pair by pair.
 DENSE = 0.05
+#: Edges of a task that are reduced at a time.
+EDGES = 1 << 20
 #: Slack of the bounds, well above rounding; what passes is decided in double precision on the vectors as given.
 SLACK = 1e-4
 
@@ -43,41 +50,51 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def turned(vectors: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unit vectors, what they are along the axes, the norms of their remainders after each stage, and the first stage with its remainder."""
+    x = (vectors @ axes).astype(np.float32)
+    sq = x.astype(np.float64) ** 2
+    tails = np.sqrt(np.stack([sq[:, k:].sum(1) for k in stages(x.shape[1])], 1)).astype(np.float32)
+    return vectors, x, tails, np.concatenate([x[:, : stages(x.shape[1])[0]], tails[:, :1]], 1)
+
+
+def reached(products: np.ndarray, need: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero(products >= need), eight at a time where there are few."""
+    hit = np.zeros(-(-products.size // 8) * 8, bool)
+    np.greater_equal(products, need, out=hit[: products.size].reshape(products.shape))
+    at = (np.flatnonzero(hit.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.divmod(at[hit[at]], products.shape[1])
+
+
 def links(one: np.ndarray, other: np.ndarray, axes: np.ndarray, threshold: float):
-    """Index pairs of rows of two tiles (unit vectors) whose cosine is at least threshold, block by block.
+    """Index pairs of rows of two tiles (unit vectors) whose cosine is at least threshold, block by block."""
+    return _links(turned(one, axes), turned(other, axes), threshold)
 
-    Dimensions are accumulated in PCA order; after each stage a pair lives on only if what it has so far plus the
-    product of the norms of the two remainders can still reach the threshold.
-    """
-    x, y = (one @ axes).astype(np.float32), (other @ axes).astype(np.float32)
-    cuts = stages(x.shape[1])
 
-    def tails(v):
-        sq = np.concatenate([np.cumsum((v[:, ::-1] ** 2).astype(np.float64), axis=1)[:, ::-1], np.zeros((len(v), 1))], axis=1)
-        return np.sqrt(np.maximum(sq, 0)).astype(np.float32)
+def _links(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], threshold: float):
+    """links() of tiles that are turned already.
 
-    tx, ty = tails(x), tails(y)
-    need = np.float32(threshold - SLACK)
+    Dimensions are accumulated in PCA order; after each stage a pair lives on only if what it has so far plus the
+    product of the norms of the two remainders can still reach the threshold. In the first stage the remainder is one
+    more dimension.
+    """
+    (u, x, tx, fx), (v, y, ty, fy) = one, other
+    cuts, need = stages(x.shape[1]), np.float32(threshold - SLACK)
     for i in range(0, len(x), BLOCK):
         for j in range(0, len(y), BLOCK):
-            a, b = x[i : i + BLOCK], y[j : j + BLOCK]
-            k = cuts[0]
-            acc, part = a[:, :k] @ b[:, :k].T, None
-            p, q = np.nonzero(acc + tx[i : i + BLOCK, k, None] * ty[None, j : j + BLOCK, k] >= need)
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if not len(p):
-                    break
-                if part is None and len(p) > DENSE * acc.size:
-                    # so many pairs live on that the block's product goes on as a whole
-                    acc += a[:, lo:hi] @ b[:, lo:hi].T
-                    now = acc[p, q]
-                else:
-                    part = now = (acc[p, q] if part is None else part) + np.einsum("ij,ij->i", a[p, lo:hi], b[q, lo:hi])
-                ok = now + tx[i + p, hi] * ty[j + q, hi] >= need
-                p, q = p[ok], q[ok]
-                part = None if part is None else part[ok]
+            acc = fx[i : i + BLOCK] @ fy[j : j + BLOCK].T
+            p, q = reached(acc, need)
+            if len(p) > DENSE * acc.size:
+                # so many pairs live on that the block's product is made as a whole
+                p, q = reached(x[i : i + BLOCK] @ y[j : j + BLOCK].T, need)
+            else:
+                part = acc[p, q] - tx[i + p, 0] * ty[j + q, 0]
+                for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False), 1):
+                    part = part + np.einsum("ij,ij->i", x[i + p, lo:hi], y[j + q, lo:hi])
+                    ok = part + tx[i + p, k] * ty[j + q, k] >= need
+                    p, q, part = p[ok], q[ok], part[ok]
             if len(p):
-                ok = decide(one[i : i + BLOCK], other[j : j + BLOCK], p, q, threshold)
+                ok = decide(u[i : i + BLOCK], v[j : j + BLOCK], p, q, threshold)
                 p, q = p[ok], q[ok]
             yield i + p, j + q
 
@@ -100,24 +117,27 @@ def near_vectors(vectors: DataFrame, workspace: Workspace, threshold: float = TH
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different length. Equal vectors are one row of the comparison, with their number as its weight, so a third of all
-    rows being one vector costs one row. The others are sorted along the first principal axis into tiles; pairs of
-    tiles are compared if their boxes along the leading axes are near enough for the threshold. Tiles, not pairs of
-    vectors, move between tasks; a task returns numbers of links and a spanning forest, never pairs. The axes come
-    from at most `sample` vectors, which changes the work but not the result. Rows with null vec_id keep n_links 0, a
-    null component and kept false.
+    rows being one vector costs one row; rows find theirs by 128 bits of hash. The others are sorted along the first
+    principal axis into tiles; pairs of tiles are compared if their boxes along the leading axes are near enough for
+    the threshold. Tiles are written once and read by the tasks that compare them, so that disk follows the rows and
+    only the comparisons their square; a task returns numbers of links and a spanning forest, never pairs. The axes
+    come from at most `sample` vectors, which changes the work but not the result. Rows with null vec_id keep
+    n_links 0, a null component and kept false.
     """
     good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("embedding", lambda x: x != 0)
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     valid = base.where(good & F.col("vec_id").isNotNull())
     heads = valid.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     heads = workspace.save(heads.withColumn("dims", F.size("embedding")), "heads")
-    member = workspace.save(valid.join(heads.select("embedding", "node"), "embedding").select("vec_id", "node"), "members")
+    prints = [F.xxhash64(*seed, "embedding").alias(f"print{k}") for k, seed in enumerate(((), (F.lit(1),)))]
+    member = workspace.save(valid.select("vec_id", *prints).join(heads.select("node", *prints), ["print0", "print1"]).select("vec_id", "node"), "members")
     counts, forests = [], []
     for k, (dims, total) in enumerate(heads.groupBy("dims").count().orderBy("dims").collect()):
         own = heads.where(F.col("dims") == dims)
-        few = np.array([r[0] for r in own.select("embedding").limit(sample).collect()], np.float64)
+        few = np.array([r[0] for r in own.select("embedding").limit(min(sample, max(2 * dims, SAMPLE_NUMBERS // dims))).collect()], np.float64)
         axes = rotation(unit(few))
-        done = workspace.save(_compare(own, axes, total, threshold, tile, workspace, k), f"compared-{k}")
+        done = workspace.save(_compare(own, axes, total, threshold, min(tile, max(BLOCK, TILE_NUMBERS // dims)), workspace, k), f"compared-{k}")
         counts.append(done.where("other IS NULL").select("node", "n"))
         forests.append(done.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     if not counts:
@@ -136,72 +156,84 @@ def near_vectors(vectors: DataFrame, workspace: Workspace, threshold: float = TH
 
 def _compare(heads: DataFrame, axes: np.ndarray, total: int, threshold: float, tile: int, workspace: Workspace, k: int) -> DataFrame:
     """node, other, n: the weighted number of links found of node (other null), or an edge of a forest (n null)."""
-    lead = axes[:, 0].tolist()
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    lead, dims = axes[:, 0].tolist(), len(axes)
+    kind = np.float32 if heads.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     first = F.aggregate(F.arrays_zip(F.col("embedding").alias("x"), F.array(*map(F.lit, lead)).alias("w")), F.lit(0.0), lambda s, z: s + z["x"] * z["w"]) / norm
     tiles = max(1, math.ceil(total / tile))
     dealt = heads.select("node", "n", "embedding", first.alias("lead")).repartitionByRange(tiles, "lead", "node")
-    box = min(BOX, len(lead))
+    box = min(BOX, dims)
 
     def cut(batches):
-        rows, own, at = [], [], TaskContext.get().partitionId()
+        number, held, own, at = 0, 0, [], TaskContext.get().partitionId()
 
-        def table():
-            ids = np.array([r[0] for r in own], np.int64)
-            v = np.array([r[2] for r in own], np.float64)
-            turned = (unit(v) @ axes)[:, :box]
-            return pa.RecordBatch.from_arrays([pa.array([at * 1_000_000 + len(rows)], pa.int64()), pa.array([turned.min(0).tolist()], pa.list_(pa.float64())), pa.array([turned.max(0).tolist()], pa.list_(pa.float64())), pa.array([ids.tobytes()], pa.binary()), pa.array([np.array([r[1] for r in own], np.int64).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["tile", "low", "high", "ids", "weights", "vectors"])
+        def tables(least):
+            nonlocal number, held, own
+            while held >= least:
+                ids, weights, v = (np.concatenate(x) for x in zip(*own, strict=True))
+                low, high = ((f((unit(v[:tile]) @ axes)[:, :box], 0)).tolist() for f in (np.min, np.max))
+                yield pa.RecordBatch.from_arrays([pa.array([at * 1_000_000 + number], pa.int64()), *(pa.array([x], pa.list_(pa.float64())) for x in (low, high)), *(pa.array([x[:tile].tobytes()], pa.binary()) for x in (ids, weights, v))], names=["tile", "low", "high", "ids", "weights", "vectors"])
+                number, held, own = number + 1, max(0, held - tile), [(ids[tile:], weights[tile:], v[tile:])]
 
         for batch in batches:
-            for node, n, v in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-                own.append((node, n, v))
-                if len(own) == tile:
-                    yield table()
-                    rows.append(1)
-                    own = []
-        if own:
-            yield table()
+            own.append((batch.column("node").to_numpy(), batch.column("n").to_numpy(), batch.column("embedding").flatten().to_numpy().reshape(-1, dims)))
+            held += batch.num_rows
+            yield from tables(tile)
+        yield from tables(1)
 
     made = workspace.save(dealt.sortWithinPartitions("lead", "node").select("node", "n", "embedding").mapInArrow(cut, "tile long, low array<double>, high array<double>, ids binary, weights binary, vectors binary"), f"tiles-{k}")
-    # unit vectors at this cosine lie within `reach` of each other along any axis, so near tiles share a cell of that width
+    # unit vectors at this cosine lie within `reach` of each other
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    cells = F.explode(F.sequence(F.floor((F.col("low")[0] - reach) / reach).cast("int"), F.floor((F.col("high")[0] + reach) / reach).cast("int"))).alias("cell")
-    meta = made.select("tile", "low", "high", cells)
-    a, b = meta.select([F.col(c).alias(f"{c}_a" if c != "cell" else c) for c in meta.columns]), meta.select([F.col(c).alias(f"{c}_b" if c != "cell" else c) for c in meta.columns])
+    # every strip of tiles meets every other without a shuffle; of the two orders of a pair of tiles one counts, by a bit of each, so that all tasks have work
+    strips = made.withColumn("bit", F.pmod(F.xxhash64("tile"), F.lit(2))).coalesce(max(STRIP, math.ceil(tiles / STRIP)))
+    a, b = (strips.select([F.col(c).alias(f"{c}_{side}") for c in strips.columns]) for side in "ab")
     gaps = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    near = a.join(b, "cell").where("tile_a <= tile_b").where(apart <= reach * reach).select("tile_a", "tile_b").distinct()
-    body = made.select("tile", "ids", "weights", "vectors")
-    pairs = near.join(body.select([F.col(c).alias(f"{c}_a") for c in body.columns]), "tile_a").join(body.select([F.col(c).alias(f"{c}_b") for c in body.columns]), "tile_b")
-    pairs = pairs.repartition(max(1, min(4 * tiles * tiles, 100_000)), "tile_a", "tile_b") if tiles > 1 else pairs
-    dims = len(lead)
+    once = (F.col("tile_a") == F.col("tile_b")) | ((F.col("tile_a") < F.col("tile_b")) == (F.col("bit_a") == F.col("bit_b"))) & (F.col("tile_a") != F.col("tile_b"))
+    pairs = a.hint("shuffle_replicate_nl").join(b, once & (apart <= reach * reach)).select([f"{c}_{side}" for side in "ab" for c in ("tile", "ids", "weights", "vectors")])
 
     def run(batches):
+        known, found, edges, size = {}, {}, [], 0
+
+        def side(batch, r, s):
+            at = batch.column(f"tile_{s}")[r].as_py()
+            if at not in known:
+                if len(known) > 4 * STRIP:
+                    known.clear()
+                get = lambda c, kind: np.frombuffer(batch.column(f"{c}_{s}")[r].as_py(), kind)
+                ids = get("ids", np.int64)
+                known[at] = ids, get("weights", np.int64), turned(unit(get("vectors", kind).reshape(-1, dims)), axes)
+                found.setdefault(at, (ids, np.zeros(len(ids), np.int64)))
+            return at, *known[at]
+
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda c, kind, r=r: np.frombuffer(batch.column(c)[r].as_py(), kind)
-                same = batch.column("tile_a")[r].as_py() == batch.column("tile_b")[r].as_py()
-                ia, wa = get("ids_a", np.int64), get("weights_a", np.int64)
-                ib, wb = get("ids_b", np.int64), get("weights_b", np.int64)
-                va = unit(get("vectors_a", np.float64).reshape(-1, dims))
-                vb = va if same else unit(get("vectors_b", np.float64).reshape(-1, dims))
-                nodes = ia if same else np.concatenate([ia, ib])
+                (ta, ia, wa, va), (tb, ib, wb, vb) = side(batch, r, "a"), side(batch, r, "b")
+                nodes = ia if ta == tb else np.concatenate([ia, ib])
                 order = np.argsort(nodes, kind="stable")
                 spot = np.empty(len(nodes), np.int64)
                 spot[order] = np.arange(len(nodes))
-                pa_, pb_ = spot[: len(ia)], spot if same else spot[len(ia) :]
-                label, found = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
-                for p, q in links(va, vb, axes, threshold):
-                    if same:
+                label = np.arange(len(nodes))
+                for p, q in _links(va, vb, threshold):
+                    if ta == tb:
                         ok = p != q
                         p, q = p[ok], q[ok]
-                    found += np.bincount(pa_[p], wb[q], len(nodes)).astype(np.int64)
-                    if not same:
-                        found += np.bincount(pb_[q], wa[p], len(nodes)).astype(np.int64)
-                    settle(label, pa_[p], pb_[q])
-                names = nodes[order]
-                some, leaf = np.flatnonzero(found), np.flatnonzero(label != np.arange(len(nodes)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([names[some], names[leaf]])), pa.array([*[None] * len(some), *names[label[leaf]].tolist()], pa.int64()), pa.array([*found[some].tolist(), *[None] * len(leaf)], pa.int64())], names=["node", "other", "n"])
+                    else:
+                        np.add.at(found[tb][1], q, wa[p])
+                    np.add.at(found[ta][1], p, wb[q])
+                    settle(label, spot[p], spot[q if ta == tb else q + len(ia)])
+                leaf = np.flatnonzero(label != np.arange(len(nodes)))
+                edges.append((nodes[order][leaf], nodes[order][label[leaf]]))
+                size += len(leaf)
+                if size > EDGES:
+                    edges = [stars(*map(np.concatenate, zip(*edges, strict=True)))]
+                    size = len(edges[0][0])
+        for ids, n in found.values():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(n[some])], names=["node", "other", "n"])
+        if size:
+            one, other = stars(*map(np.concatenate, zip(*edges, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(other), pa.nulls(len(one), pa.int64())], names=["node", "other", "n"])
 
     return pairs.mapInArrow(run, "node long, other long, n long")
 

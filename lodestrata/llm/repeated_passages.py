@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced_sorting import repeated_strings
-from .shared import Workspace, inverses, mix, prefix, slices, span
+from .shared import Workspace, buffers, inverses, mix, prefix, slices, span
 
 LENGTH = 50
 GRAM = 26
@@ -25,6 +25,8 @@ BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 #: An anchor with more bytes of different places than this is not sorted in one shard; its strings are compared one by one.
 HOT_BYTES = 8 << 20
+#: Bytes by which the surroundings of an anchor are told apart before places are sorted.
+STEP = 5
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -74,6 +76,43 @@ def places(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def meeting(data: np.ndarray, offsets: np.ndarray, owners: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Of places that lie one after another: whether another one of a different owner may share a string of `length` bytes.
+
+    Such a string is the anchor, with length - gram bytes to its left and right together. Whatever it has to the left,
+    rounded down to a multiple of STEP, and to the right, less than STEP more, stands in both places alike; a place
+    whose surroundings of all these kinds are found nowhere else shares none. The others are sorted, which decides.
+    """
+    rest = length - gram
+    sides = [(a, max(0, rest - a - STEP + 1)) for a in range(0, rest + 1, STEP)]
+    keep = np.zeros(len(owners), bool)
+    own, keys = [], []
+    for i, j in slices(offsets, WINDOWS):
+        d, begin, end = data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]
+        if j - i == 1 and len(d) > 2 * WINDOWS:
+            keep[i] = True  # longer than the low bits of a key can tell
+            continue
+        sums = prefix(d)
+        n = len(d) - gram + 1
+        low = (mix((sums[gram:] - sums[:n]) * inverses(n)) & ~_LOW) | np.arange(n, dtype=np.uint64)
+        # grams of each place; those between places are left out by the odd ranges of reduceat
+        at = (np.minimum.reduceat(low, np.stack([begin, end - gram + 1], 1).ravel()[:-1])[::2] & _LOW).astype(np.int64)
+        for side, (left, right) in enumerate(sides):
+            a, b = at - left, at + gram + right
+            ok = np.flatnonzero((a >= begin) & (b <= end))
+            own.append(ok + i)
+            keys.append(mix(span(sums, a[ok], b[ok]) + np.uint64(side)))
+    if keys:
+        own, keys = np.concatenate(own), np.concatenate(keys)
+        order = np.argsort(keys)
+        own, keys = own[order], keys[order]
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        if len(head):
+            many = np.minimum.reduceat(owners[own], head) < np.maximum.reduceat(owners[own], head)
+            keep[own[np.repeat(many, np.diff(np.append(head, len(own))))]] = True
+    return keep
+
+
 def _blocks(batches):
     """Documents in blocks of about BLOCK_BYTES: block, ids, offsets, data. A longer document is a block of its own."""
     first, count = TaskContext.get().partitionId() << 24, 0
@@ -230,7 +269,9 @@ def repeated(docs: DataFrame, workspace: Workspace, length: int = LENGTH, hot_by
 
     def sort(table: pa.Table) -> pa.Table:
         owner, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
-        gone = repeated_strings(table.column("piece").to_pylist(), owner, length)
+        keep = np.flatnonzero(meeting(*buffers(table.column("piece")), owner, length))
+        owner, start = owner[keep], start[keep]
+        gone = repeated_strings(table.column("piece").take(pa.array(keep)).to_pylist(), owner, length)
         k = np.array([g[0] for g in gone], np.int64)
         lo, hi = np.array([g[1] for g in gone], np.int64), np.array([g[2] for g in gone], np.int64)
         return pa.table({"doc_id": owner[k], "start": start[k] + lo, "stop": start[k] + hi})

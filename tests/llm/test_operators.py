@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +214,28 @@ def test_suffix_order_and_common_prefixes(monkeypatch, limit):
                 assert one[:n] == other[:n] and (n == min(len(one), len(other)) or one[n] != other[n])
 
 
+def test_op7_only_places_that_meet_are_sorted():
+    """Every place that shares a string with another owner's is kept, and most of those that share none are not."""
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choices(b"abcdefgh ", k=n))
+    common = [word(rng.randrange(26, 90)) for _ in range(60)]
+    texts = [b"".join(x for _ in range(12) for x in (rng.choice(common), word(rng.randrange(40)))) for _ in range(60)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    doc, at, size, _, _ = repeated_passages.places(data, offsets)
+    pieces = [bytes(data[a : a + n]) for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    keep = repeated_passages.meeting(np.frombuffer(b"".join(pieces), np.uint8), ends, doc)
+    owners = defaultdict(set)
+    for p, d in zip(pieces, doc.tolist(), strict=True):
+        for i in range(len(p) - 49):
+            owners[p[i : i + 50]].add(d)
+    shares = np.array([any(len(owners[p[i : i + 50]]) > 1 for i in range(len(p) - 49)) for p in pieces])
+    assert shares.any() and keep[shares].all() and keep[~shares].mean() < 0.2
+    found = lambda k: {(int(k[x]), y, z) for x, y, z in induced_sorting.repeated_strings([pieces[i] for i in k], doc[k], 50)}
+    assert found(np.flatnonzero(keep)) == found(np.arange(len(pieces)))
+
+
 def test_op2_embeddings(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 12))
